@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracles
 from .exact_dedup import exact_dedup
 from .line_dedup import line_report
+from .lm_score import lm_scores
 from .mixing import mix_sources
 
 
@@ -27,5 +28,9 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_line_dedup, op8_exact_dedup)}
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_line_dedup, op8_exact_dedup, op9_lm_score)}
 ORACLES = {k: v for k, v in oracles.SQL.items() if k in QUERIES}
