@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, tasks_for
+from .counting import PACKED, Tally, pack_counts, split_slices, unpack_counts
 from .vectors import U64, chunks, long_column, mix, text_bytes, word_bounds, words
 
 #: The token that ends a text; as a history it also stands for its beginning.
@@ -55,38 +56,8 @@ def _pairs(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(before * _PAIR + tokens)
 
 
-class _Tally:
-    """Counts by hash, merged as they come, handed on before they get large."""
-
-    def __init__(self, most: int):
-        self.most, self.parts, self.size = most, [], 0
-
-    def add(self, h: np.ndarray) -> None:
-        u, n = np.unique(h, return_counts=True)
-        self.parts.append((u, n))
-        self.size += len(u)
-
-    def full(self) -> bool:
-        if self.size > 2 * self.most:
-            self.parts = [self.take(keep=True)]
-            self.size = len(self.parts[0][0])
-        return self.size > self.most
-
-    def take(self, keep: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        h = np.concatenate([p[0] for p in self.parts])
-        n = np.concatenate([p[1] for p in self.parts])
-        if len(self.parts) > 1:
-            order = np.argsort(h, kind="stable")
-            h, n = h[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            h, n = h[first], np.add.reduceat(n, first)
-        if not keep:
-            self.parts, self.size = [], 0
-        return h, n
-
-
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tally = _Tally(2_000_000)
+    tally = Tally(2_000_000)
 
     def rows():
         h, n = tally.take()
@@ -101,50 +72,21 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ship_grams(slices: int):
-    """Pre-aggregated n-gram counts, packed by slice of the hash space.
-
-    The slice takes the high part of a hash; 32 more bits stay, so together
-    they tell n-grams apart about as well as the filter could.
-    """
+    """Pre-aggregated n-gram counts, packed by slice of the hash space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally(4_000_000)
-
-        def rows():
-            h, n = tally.take()
-            part, low = _split(h, slices)
-            cut = np.searchsorted(part, np.arange(slices + 1))
-            ids, once, more, count = [], [], [], []
-            for s in range(slices):
-                a, b = cut[s], cut[s + 1]
-                if b > a:
-                    one = n[a:b] == 1
-                    ids.append(s)
-                    once.append(low[a:b][one].tobytes())
-                    more.append(low[a:b][~one].tobytes())
-                    count.append(n[a:b][~one].astype(np.uint32).tobytes())
-            return pa.record_batch(
-                [pa.array(ids, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary()), pa.array(count, pa.binary())],
-                ["slice", "once", "more", "count"],
-            )
-
+        tally = Tally(4_000_000)
         for batch in chunks(batches):
             tokens, bounds = _tokens(batch)
             tally.add(np.concatenate([tokens, _pairs(tokens, bounds)]))
             if tally.full():
-                yield rows()
+                yield pack_counts(*tally.take(), slices)
         if tally.parts:
-            yield rows()
+            yield pack_counts(*tally.take(), slices)
 
     return run
 
 
-def _split(h: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slice number (rising with the hash) and the 32 bits below it."""
-    high = (h >> U64(32)) * U64(slices)
-    return (high >> U64(32)).astype(np.int64), ((high & U64(0xFFFFFFFF)) ^ (h & U64(0xFFFFFFFF))).astype(np.uint32)
-
-
 def _positions(low: np.ndarray, q, hashes: int, bits: int) -> np.ndarray:
     """The bits of items (n-gram, level): one row for each hash function."""
     item = mix((low.astype(U64) << U64(8)) + np.asarray(q).astype(U64))
@@ -156,14 +98,8 @@ def _fill(most_bytes: int, bits_per_item: int):
     """One slice's part of the filter, as large as its items need or the cap allows."""
 
     def run(key: tuple[pa.Scalar, ...], tables: pa.Table) -> pa.Table:
-        cols = {c: [np.frombuffer(x.as_py(), np.uint32) for x in tables.column(c)] for c in ("once", "more", "count")}
-        once, more = np.concatenate(cols["once"]), np.concatenate(cols["more"])
-        low = np.concatenate([once, more])
-        n = np.concatenate([np.ones(len(once), np.int64), np.concatenate(cols["count"]).astype(np.int64)])
-        order = np.argsort(low, kind="stable")
-        low, n = low[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-        low, q = low[first], level(np.add.reduceat(n, first))
+        low, n = unpack_counts(tables)
+        q = level(n)
         items = int(q.sum())
         size = min(max(8, items * bits_per_item // 8 + 1), most_bytes)
         hashes = max(1, min(8, round(math.log(2) * size * 8 / items)))
@@ -188,7 +124,7 @@ class LogFrequencyFilter:
         self.hashes = np.array([parts[s][1] if s in parts else 0 for s in range(slices)])
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        part, low = _split(h, self.slices)
+        part, low = split_slices(h, self.slices)
         q = np.zeros(len(h), np.int64)
         size = ((self.start[1:] - self.start[:-1]) * 8)[part]
         live = np.flatnonzero(size > 0)
@@ -312,7 +248,7 @@ def lm_scores(
 
     slices = tasks_for(spark)
     parts = (
-        train.mapInArrow(_ship_grams(slices), "slice int, once binary, more binary, count binary")
+        train.mapInArrow(_ship_grams(slices), PACKED)
         .groupBy("slice")
         .applyInArrow(_fill(filter_bytes // slices, bits_per_item), "slice int, bits binary, hashes int")
         .toArrow()
