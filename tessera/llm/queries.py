@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_components
 from .line_dedup import line_report
 from .lm_score import lm_scores
 from .mixing import mix_sources
@@ -24,6 +25,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -32,5 +37,5 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_line_dedup, op8_exact_dedup, op9_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_line_dedup, op5_jaccard_join, op8_exact_dedup, op9_lm_score)}
 ORACLES = {k: v for k, v in oracles.SQL.items() if k in QUERIES}
