@@ -10,6 +10,7 @@ from .jaccard_join import jaccard_components
 from .line_dedup import line_report
 from .lm_score import lm_scores
 from .mixing import mix_sources
+from .suffix_dedup import suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -37,5 +42,5 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_line_dedup, op5_jaccard_join, op8_exact_dedup, op9_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_line_dedup, op5_jaccard_join, op6_suffix_dedup, op8_exact_dedup, op9_lm_score)}
 ORACLES = {k: v for k, v in oracles.SQL.items() if k in QUERIES}
