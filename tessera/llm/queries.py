@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracles
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
+from .language_id import identify_language
 from .line_dedup import line_report
 from .lm_score import lm_scores
 from .mixing import mix_sources
@@ -42,5 +43,9 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_line_dedup, op5_jaccard_join, op6_suffix_dedup, op8_exact_dedup, op9_lm_score)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(_table(spark, sf_dir, "documents")).drop("row")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_line_dedup, op5_jaccard_join, op6_suffix_dedup, op8_exact_dedup, op9_lm_score, op10_language_id)}
 ORACLES = {k: v for k, v in oracles.SQL.items() if k in QUERIES}

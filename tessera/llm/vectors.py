@@ -71,7 +71,9 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return s
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(
+    data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _BLANK, lower: np.ndarray = _LOWER
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, document index, start and end of every ASCII-lower-cased word."""
     n = len(data)
     if n == 0:
@@ -79,12 +81,12 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return np.zeros(0, U64), none, none, none
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
-    inside = ~_BLANK[data]
+    inside = ~blank[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1] | edge[1:-1]
     last[:-1] &= ~inside[1:] | edge[1:-1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    s = prefix_hash(_LOWER[data])
+    s = prefix_hash(lower[data])
     _, inverse = powers(n + 1)
     h = mix((s[end] - s[start]) * inverse[start] + (end - start).astype(U64))
     doc = np.searchsorted(offsets, start, side="right") - 1
