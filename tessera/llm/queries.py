@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .decontamination import find_contamination
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .language_id import identify_language
@@ -27,6 +28,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -47,5 +52,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(_table(spark, sf_dir, "documents")).drop("row")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_line_dedup, op5_jaccard_join, op6_suffix_dedup, op8_exact_dedup, op9_lm_score, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_line_dedup, op4_decontamination, op5_jaccard_join, op6_suffix_dedup, op8_exact_dedup, op9_lm_score, op10_language_id)}
 ORACLES = {k: v for k, v in oracles.SQL.items() if k in QUERIES}
