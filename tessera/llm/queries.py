@@ -12,7 +12,9 @@ from .language_id import identify_language
 from .line_dedup import line_report
 from .lm_score import lm_scores
 from .mixing import mix_sources
+from .secret_scan import scan_secrets
 from .suffix_dedup import suffix_dedup
+from .token_count import count_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +26,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).drop("row")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_table(spark, sf_dir, "documents"))
 
@@ -40,6 +46,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -52,5 +62,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(_table(spark, sf_dir, "documents")).drop("row")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_line_dedup, op4_decontamination, op5_jaccard_join, op6_suffix_dedup, op8_exact_dedup, op9_lm_score, op10_language_id)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources,
+        op2_token_counts,
+        op3_line_dedup,
+        op4_decontamination,
+        op5_jaccard_join,
+        op6_suffix_dedup,
+        op7_secret_scan,
+        op8_exact_dedup,
+        op9_lm_score,
+        op10_language_id,
+    )
+}
 ORACLES = {k: v for k, v in oracles.SQL.items() if k in QUERIES}
