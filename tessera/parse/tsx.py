@@ -476,10 +476,11 @@ class Parser:
                         if self.word() == "type" and re.match(r"type\s+(?!as\b)[\w$'\"]|type\s+as\s+as\b", self.code[self.at :]):
                             self.take("type")
                         imported = self.string().value if self.code[self.at] in "'\"" else self.name() if self.word() else self.string().value
-                        local = imported
+                        local, end = imported, self.at
                         if self.take("as"):
                             local = self.name()
-                        specifiers.append((local, imported, "named", at, self.at))
+                            end = self.at
+                        specifiers.append((local, imported, "named", at, end))
                         if not self.take(","):
                             self.need("}")
                             break
