@@ -19,8 +19,9 @@ from .vectors import chunks
 #: Fixed value: the pattern that splits text before byte-pair merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPLIT = regex.compile(SPLIT)
-#: Pre-tokens of a leaf when a tree is built, and how far a match looks ahead.
-LEAF, AHEAD = 64, 1
+#: Pre-tokens of a leaf when a tree is built, and how far behind its end a match can look
+#: (the second letter of a contraction, or what follows the last of several blanks).
+LEAF, AHEAD = 64, 2
 
 
 class Encoder:
@@ -238,7 +239,7 @@ def count_tokens(
     id_type = base.schema["doc_id"].dataType.simpleString()
     if edits is not None:
         grouped = edits.groupBy(F.col(id_col).alias("doc_id")).agg(
-            F.collect_list(F.struct(F.col("start").cast("long"), F.col("end").cast("long"), F.coalesce("new", F.lit("")).alias("new"))).alias("edits")
+            F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.coalesce("new", F.lit("")).alias("new"))).alias("edits")
         )
         base, make_edits = base.join(grouped, "doc_id", "left").select("doc_id", "text", "edits"), None
     return base.mapInArrow(

@@ -1,0 +1,283 @@
+"""Each operator against a brute-force version on a small table with awkward rows."""
+
+import hashlib
+import math
+import random
+import re
+import string
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm.components import components
+from tessera.llm.decontamination import BlockMaxIndex, block_max_wand, find_contamination
+from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.jaccard_join import jaccard_components
+from tessera.llm.language_id import identify_language
+from tessera.llm.line_dedup import line_dedup, line_report
+from tessera.llm.lm_score import LogFrequencyFilter, level, level_value, lm_scores
+from tessera.llm.mixing import mix_sources, pfair_slots
+from tessera.llm.secret_scan import RandomForest, Vocabulary, features, labelled_findings, scan_secrets
+from tessera.llm.suffix_dedup import merge_runs, suffix_dedup
+from tessera.llm.token_count import CountTree, Encoder, count_tokens
+
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+SCHEMA = "doc_id long, text string, lang string, source string, n_lines long, row string, drop string"
+BLANK = " \t\n\x0b\x0c\r"
+
+
+def lower(s):
+    return "".join(c.lower() if c in string.ascii_uppercase else c for c in s or "")
+
+
+def words(s):
+    return re.findall(r"[^\x20\x09-\x0D]+", lower(s))
+
+
+def corpus():
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    passage, line = say(60), "A Line that " + say(12)
+    base = say(120)
+    texts = [None, "", " \n\t", "one two", "ONE two", "É one", "é one", "x" * 700, "ab" * 400]
+    texts += [base] + [" ".join(w if rng.random() > p else say(1) for w in base.split()) for p in [0.01] * 25 + [0.03] * 15 + [0.2] * 10]
+    texts += [base.upper()] * 3 + [base + " "]
+    texts += [f"{say(30)}\n {line}\t\n{say(20)}\n{line.upper()}" for _ in range(8)]
+    texts += [f"{say(25)} {passage} {say(25)}" for _ in range(12)] + [say(rng.randint(1, 80)) for _ in range(20)]
+    rows = [(i, t, ["en", "de", None][i % 3], ["a", "a", "b", None][i % 4], 1, "r", "d") for i, t in enumerate(texts)]
+    return rows + [rows[9], rows[12]]  # repeated rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_exact_dedup(docs, empty):
+    groups = defaultdict(list)
+    for r in corpus():
+        groups[lower(r[1])].append(r[0])
+    got = exact_dedup(docs).collect()
+    assert len(got) == len(corpus())
+    by_text = {hashlib.sha256(t.encode()).hexdigest(): ids for t, ids in groups.items()}
+    for r in got:
+        ids = by_text[r.text_sha256]
+        assert (r.keep_id, r.group_size) == (max(ids), len(ids)) and (not r.kept or r.doc_id == max(ids))
+    assert sum(r.kept for r in got) == len(groups)
+    assert exact_dedup(empty).count() == 0
+
+
+def test_line_dedup(docs, empty):
+    key = lambda x: lower(x.strip(BLANK))
+    texts = {r[0]: r[1] or "" for r in corpus()}
+    holders = defaultdict(set)
+    for i, t in texts.items():
+        for x in t.split("\n"):
+            if len(key(x)) >= 40:
+                holders[key(x)].add(i)
+    for r in line_report(docs).collect():
+        lines = texts[r.doc_id].split("\n")
+        kept = [x for x in lines if len(holders.get(key(x), ())) < 5 or max(holders[key(x)]) == r.doc_id]
+        assert (r.n_lines, r.n_dropped) == (len(lines), len(lines) - len(kept))
+        assert r.kept_sha256 == hashlib.sha256("\n".join(kept).encode()).hexdigest()
+    assert line_dedup(empty).count() == 0
+    assert set(line_dedup(docs).select("row.*").columns) == set(docs.columns)
+
+
+def test_pfair():
+    rng = random.Random(1)
+    for _ in range(30):
+        tickets = {f"s{i}": rng.randint(1, 40) for i in range(rng.randint(1, 9))}
+        slots, period = pfair_slots(tickets), sum(tickets.values())
+        assert sorted(x for v in slots.values() for x in v) == list(range(period))
+        for k, a in tickets.items():
+            for b, s in enumerate(slots[k]):
+                assert b * period // a <= s < -(-(b + 1) * period // a)
+            for t in range(period + 1):
+                assert abs(sum(s < t for s in slots[k]) - a * t / period) < 1
+
+
+def test_mix_sources(docs, empty):
+    got = mix_sources(docs, block_docs=2, bucket_rows=3).collect()
+    assert len({r.mix_order for r in got}) == len(got) == len(corpus())
+    for k in {r.source_key for r in got}:
+        mine = sorted((r.block, r.block_offset) for r in got if r.source_key == k)
+        assert mine == [(i // 2, i % 2) for i in range(len(mine))]
+        assert all(r.release <= r.slot < r.deadline for r in got if r.source_key == k)
+    assert mix_sources(empty).count() == 0
+    with pytest.raises(ValueError):
+        mix_sources(docs, weights={"a": 1.0})
+    assert mix_sources(docs, weights={"a": 2.0, "b": 1.0, None: 1.0}).count() == len(corpus())
+
+
+def test_jaccard(spark, docs, empty):
+    sets = {}
+    for i, t, *_ in corpus():
+        w = words(t)
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    label = {i: i for i in sets}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            n = len(sets[i] & sets[j])
+            if i < j and n and 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                label[b] = a
+    for leaf in (16, 3):  # the second sends most through pivots and rings
+        got = jaccard_components(docs, leaf=leaf, hot=leaf).collect()
+        assert len(got) == len(corpus())
+        assert all((r.n_shingles, r.component_id) == (len(sets[r.doc_id]), find(r.doc_id)) for r in got)
+    assert jaccard_components(empty).count() == 0
+
+
+def test_components(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 40), (40, 60)], "a long, b long")
+    got = dict(components(links).collect())
+    assert got == {i: 0 for i in range(21)} | {40: 40, 50: 40, 60: 40}
+
+
+def test_suffix_dedup(docs, empty):
+    texts = [(r[0], (r[1] or "").encode()) for r in corpus()]
+    seen = Counter(b[i : i + 200] for _, b in texts for i in range(len(b) - 199))
+    want = {}
+    for i, b in texts:
+        gone = np.zeros(len(b), bool)
+        for j in range(len(b) - 199):
+            if seen[b[j : j + 200]] > 1:
+                gone[j : j + 200] = True
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        want[i] = (len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest())
+    got = suffix_dedup(docs).drop("kept").collect()
+    assert len(got) == len(texts) and all(tuple(r)[1:] == want[r.doc_id] for r in got)
+    assert suffix_dedup(empty).count() == 0
+
+
+def test_merge_runs():
+    rng = random.Random(2)
+    runs = [sorted(bytes(rng.choice(b"ab") for _ in range(6)) for _ in range(rng.randint(1, 30))) for _ in range(7)]
+    common = lambda a, b: next((i for i in range(6) if a[i] != b[i]), 6)
+    coded = [(r, [0] + [common(x, y) for x, y in zip(r, r[1:])]) for r in runs]
+    out = list(merge_runs(coded))
+    strings = [runs[r][i] for r, i, _ in out]
+    assert strings == sorted(x for r in runs for x in r)
+    assert [c for *_, c in out][1:] == [common(a, b) for a, b in zip(strings, strings[1:])]
+
+
+def test_lm_scores(docs, empty):
+    token = lambda t: words(t) + [None]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    counts = Counter(t for r in corpus() if not held(r[0]) for t in token(r[1]))
+    n, v = sum(counts.values()), len(counts)
+    for head in (500_000, 10):
+        got = lm_scores(docs, head=head).collect()
+        assert len(got) == len(corpus())
+        texts = {r[0]: r[1] for r in corpus()}
+        for r in got:
+            t = token(texts[r.doc_id])
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(t), sum(x in counts for x in t), n)
+            assert r.base_score == pytest.approx(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in t))
+            assert r.score < 0
+    assert lm_scores(empty).count() == 0
+    c = np.arange(1, 1000)
+    assert (np.abs(level_value(level(c)) - c) <= 0.25 * c + 0.5).all()
+    assert LogFrequencyFilter({}, 4).levels(np.arange(5, dtype=np.uint64)).sum() == 0
+
+
+def test_language_id(spark, empty):
+    rng = random.Random(3)
+    make = lambda parts: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(40))
+    rows = [(i, make(["the", "ing", "ow"]) if i % 2 else make(["ção", "est", "ñu"]), "aa" if i % 2 else "bb") for i in range(300)]
+    rows += [(900, None, "aa"), (901, "123 !?", "aa"), (902, "", None)]
+    got = identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    truth = {r[0]: r[2] for r in rows}
+    assert {r.doc_id: r.lang_pred for r in got if r.doc_id >= 900} == dict.fromkeys((900, 901, 902), "und")
+    held = [r for r in got if r.held_out and r.doc_id < 900]
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.95 and all(0 <= r.score <= 1 for r in got)
+    assert identify_language(empty).count() == 0
+
+
+def test_decontamination(spark, docs, empty):
+    rng = random.Random(4)
+    say = lambda n: " ".join("".join(rng.choice("klmnop") for _ in range(6)) for _ in range(n))
+    items = [(i, f"{say(12)}? {say(9)}.") for i in range(30)] + [(99, None), (98, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    bad = [(1000 + i, f"{say(200)} {items[i][1].upper().replace(' ', '  ')} {say(300)}") for i in range(10)]
+    half = [(2000, items[3][1].split("?")[0])]
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame(bad + half, "doc_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in find_contamination(rows, bench).collect()}
+    assert got == {(1000 + i, i) for i in range(10)}
+    assert find_contamination(rows, bench, shard_items=7).count() == 10
+    assert find_contamination(empty, bench).count() == 0 and find_contamination(rows, bench.limit(0)).count() == 0
+
+
+def test_block_max_wand_finds_all():
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(vocabulary, k=12)) for _ in range(80)]
+    index = BlockMaxIndex(list(range(80)), pa.array(texts))
+    for _ in range(60):
+        terms = np.array(rng.sample(range(len(index.terms)), 15))
+        want = {}
+        for t in terms:
+            for p in range(index.first[t], index.first[t + 1]):
+                want[index.item[p]] = want.get(index.item[p], 0) + index.impact[p]
+        got = dict(block_max_wand(index, terms, 0.3))
+        assert got.keys() == {i for i, s in want.items() if s >= 0.3 - 1e-9}
+
+
+def test_secrets(spark, empty):
+    vocabulary = Vocabulary(["plain words of ordinary text " * 5])
+    found = labelled_findings(["plain", "words", "ordinary"], 400)
+    x, y = np.array([features(*f[:4], vocabulary) for f in found]), np.array([f[4] for f in found], float)
+    forest = RandomForest().fit(x[:600], y[:600])
+    assert ((forest.predict(x[600:]) > 0.5) == y[600:]).mean() > 0.95
+    texts = [(1, 'the token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" here'), (2, "password: changeme-example"), (3, None), (4, ""), (5, "no key here at all")]
+    got = scan_secrets(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.is_secret for r in got} == {1: True, 2: False}
+    assert texts[0][1][got[0].start : got[0].end] == got[0].value or got[0].doc_id == 2
+    assert scan_secrets(empty).count() == 0
+
+
+def test_edit_aware_counts(spark, docs, empty):
+    encoder, rng = Encoder(open(RANKS, "rb").read()), random.Random(7)
+    for text in ["", "It's 12  words\n\n here, don't  you?  " * 40, "é ü  \n" * 90]:
+        tree = CountTree(text, encoder)
+        for _ in range(60):
+            a = rng.randint(0, len(text))
+            b, new = min(len(text), a + rng.choice([0, 1, 5, 300])), rng.choice(["", " ", "x", "\n\n", "'s", " the 9", "word " * 9])
+            tree.replace(a, b, new)
+            text = text[:a] + new + text[b:]
+            assert tree.text() == text and tree.total == len(encoder.encode(text))
+    edits = spark.createDataFrame([(3, 0, 3, "a much longer"), (3, 4, 7, None), (12345, 0, 1, "x")], "doc_id long, start long, end long, new string")
+    got = {r.doc_id: r for r in count_tokens(docs, RANKS, edits).collect()}
+    assert got[3].n_edits == 2 and got[3].n_tokens_after == len(encoder.encode("a much longer "))
+    assert got[0].n_tokens == 0 and count_tokens(empty, RANKS).count() == 0
+    assert count_tokens(docs.where("doc_id = 4").withColumn("text", F.lit("mail a.b@c.org now")), RANKS).first().n_tokens_after == len(encoder.encode("mail <email> now"))
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline as p
+
+    leaked = max(corpus()[-22:-2], key=lambda r: len(r[1]))
+    spark.createDataFrame(corpus(), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, leaked[1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = p.run(spark, str(tmp_path)).collect()
+    ids = [r.doc_id for r in out]
+    assert len(ids) == len(set(ids)) and not {0, 1, 2} & set(ids) and leaked[0] not in ids
+    assert 9 in ids and not set(range(10, 25)) & set(ids)  # one of the near copies
