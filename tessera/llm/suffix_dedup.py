@@ -17,6 +17,10 @@ from .vectors import _BYTE, U64, chunks, mix, powers, prefix_hash, text_bytes
 
 #: Fills suffixes beyond the end of a document; no byte of UTF-8.
 PAD = 0xFF
+#: Bytes of text taken at a time; arrays of eight bytes a byte are made of it.
+CHUNK = 512 << 10
+#: Anchors are small hashes, so their slices come from another hash.
+_SPREAD = U64(0xA0761D6478BD642F)
 
 
 def _slide(a: np.ndarray, width: int, pick) -> np.ndarray:
@@ -61,43 +65,39 @@ def _ship_anchors(length: int, k: int, slices: int):
     that counts it, so a string that all documents share does not gather there.
     """
 
+    def pack(h, pos, p1, p2):
+        _, first, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        part, low = split_slices(mix(h[first] ^ _SPREAD), slices)
+        sure = np.flatnonzero(n[back] > 1)
+        spread = (p1[sure].view(U64) % U64(slices)).astype(np.int64)
+        order, other = np.argsort(part, kind="stable"), np.argsort(spread, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(slices + 1))
+        known_cut = np.searchsorted(spread[other], np.arange(slices + 1))
+        rows = []
+        for s in range(slices):
+            mine = order[cut[s] : cut[s + 1]]
+            all_of = np.concatenate([first[mine], sure[other[known_cut[s] : known_cut[s + 1]]]])
+            if len(all_of):
+                _, one, where = np.unique(p1[all_of] ^ p2[all_of], return_index=True, return_inverse=True)
+                used = all_of[one]
+                rows.append((s, low[mine].tobytes(), where.astype(np.uint32).tobytes(), pos[all_of].tobytes(), p1[used].tobytes(), p2[used].tobytes()))
+        types = (pa.int32(), *[pa.binary()] * 5)
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["slice", "low", "at", "pos", "p1", "p2"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        held, size = [], 0
+        for batch in chunks(batches, limit=CHUNK):
             data, offsets = text_bytes(batch.column("text"))
             at, h = anchors(data, offsets, length, k)
-            if not len(at):
-                continue
             doc = np.searchsorted(offsets, at, side="right") - 1
-            pos = (at - offsets[doc]).astype(np.uint32)
-            p1, p2 = (batch.column(c).to_numpy() for c in ("p1", "p2"))
-            _, first, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-            known = n[back] > 1
-            part, low = split_slices(h[first], slices)
-            spread = (p1[doc[known]].view(U64) % U64(slices)).astype(np.int64)
-            rows = []
-            order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(slices + 1))
-            other = np.argsort(spread, kind="stable")
-            known_at = np.flatnonzero(known)[other]
-            known_cut = np.searchsorted(spread[other], np.arange(slices + 1))
-            for s in range(slices):
-                mine = first[order[cut[s] : cut[s + 1]]]
-                sure = known_at[known_cut[s] : known_cut[s + 1]]
-                if not len(mine) and not len(sure):
-                    continue
-                used, where = np.unique(np.concatenate([doc[mine], doc[sure]]), return_inverse=True)
-                rows.append(
-                    (
-                        s,
-                        low[order[cut[s] : cut[s + 1]]].tobytes(),
-                        where.astype(np.uint32).tobytes(),
-                        np.concatenate([pos[mine], pos[sure]]).tobytes(),
-                        p1[used].tobytes(),
-                        p2[used].tobytes(),
-                    )
-                )
-            types = (pa.int32(), *[pa.binary()] * 5)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["slice", "low", "at", "pos", "p1", "p2"])
+            p1, p2 = (batch.column(c).to_numpy()[doc] for c in ("p1", "p2"))
+            held.append((h, (at - offsets[doc]).astype(np.uint32), p1, p2))
+            size += len(h)
+            if size > 250_000:
+                yield pack(*(np.concatenate(x) for x in zip(*held)))
+                held, size = [], 0
+        if size:
+            yield pack(*(np.concatenate(x) for x in zip(*held)))
 
     return run
 
@@ -154,51 +154,58 @@ def _ship_suffixes(length: int, k: int, slices: int):
     one, marked; their documents' spans are known already and go elsewhere.
     """
     before = length - k
+    step = np.concatenate([np.arange(length), -1 - np.arange(before)]).astype(np.int32)
+    width = length + before
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def records(batch):
+        """The suffixes of a chunk's candidates, a few thousand at a time."""
+        data, offsets = text_bytes(batch.column("text"))
+        p1, p2 = (batch.column(c).to_numpy() for c in ("p1", "p2"))
+        pos = [np.unique(np.frombuffer(b"".join(x), np.uint32)).astype(np.int64) for x in batch.column("packed").to_pylist()]
+        doc = np.repeat(np.arange(len(pos)), [len(x) for x in pos])
+        pos = np.concatenate(pos)
+        for a in range(0, len(pos), 4096):
+            d, p = doc[a : a + 4096], pos[a : a + 4096]
+            left, right = np.minimum(p, before), np.minimum((offsets[1:] - offsets[:-1])[d] - p, length)
+            inside = np.concatenate([np.arange(length) < right[:, None], np.arange(before) < left[:, None]], axis=1)
+            at = np.clip((offsets[d] + p).astype(np.int32)[:, None] + step, 0, len(data) - 1)
+            yield np.where(inside, data[at], np.uint8(PAD)), np.stack([p1[d], p2[d], p, left, right])
+
+    def pack(rows, about):
         power, _ = powers(k)
-        for batch in chunks(batches, limit=1 << 20):
-            data, offsets = text_bytes(batch.column("text"))
-            p1, p2 = (batch.column(c).to_numpy() for c in ("p1", "p2"))
-            lists = batch.column("packed").to_pylist()
-            pos = [np.unique(np.frombuffer(b"".join(x), np.uint32)).astype(np.int64) for x in lists]
-            doc = np.repeat(np.arange(len(pos)), [len(x) for x in pos])
-            pos = np.concatenate(pos)
-            at = offsets[doc] + pos
-            # Long texts with very many anchors are taken in parts.
-            for part in range(0, len(at), 20_000):
-                one = slice(part, part + 20_000)
-                yield from pack(data, offsets, doc[one], pos[one], at[one], p1, p2, power)
-
-    def pack(data, offsets, doc, pos, at, p1, p2, power):
-        size = (offsets[1:] - offsets[:-1])[doc]
-        left, right = np.minimum(pos, before), np.minimum(size - pos, length)
-        step = np.concatenate([np.arange(length), -1 - np.arange(before)])
-        inside = np.concatenate([np.arange(length) < right[:, None], np.arange(before) < left[:, None]], axis=1)
-        rows = np.where(inside, data[np.clip(at[:, None] + step, 0, len(data) - 1)], PAD).astype(np.uint8)
-        whole = rows.view(f"S{rows.shape[1]}").ravel()
-        order = np.argsort(whole, kind="stable")
-        rows = rows[order]
+        order = np.argsort(rows.view(f"S{width}").ravel(), kind="stable")
+        rows, about = rows[order], about[:, order]
         new = np.ones(len(rows), bool)
         new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-        group = np.cumsum(new) - 1
         first = np.flatnonzero(new)
         many = np.diff(np.concatenate([first, [len(rows)]])) > 1
-        key = mix((_BYTE[rows[first][:, :k]] * power).sum(axis=1, dtype=U64))
-        part, _ = split_slices(key, slices)
-        member = order[first]
-        sure = order[many[group]]
-        spread = (p1[doc[sure]].view(U64) % U64(slices)).astype(np.int64)
+        key = np.zeros(len(first), U64)
+        for j in range(k):
+            key += _BYTE[rows[first, j]] * power[j]
+        part, _ = split_slices(mix(mix(key) ^ _SPREAD), slices)
+        sure = about[:, many[np.cumsum(new) - 1]]
+        spread = (sure[0].view(U64) % U64(slices)).astype(np.int64)
+        about = np.concatenate([about[:, first], many[None, :].astype(np.int64)])
+        known = np.stack([sure[0], sure[1], sure[2] - sure[3], sure[2] + sure[4]])
         out = []
         for s in np.union1d(part, spread):
-            mine = np.flatnonzero(part == s)
-            lcp, tails = _front_code(rows[first[mine]]) if len(mine) else (np.zeros(0, np.uint16), b"")
-            m, x = member[mine], sure[spread == s]
-            spans = np.stack([p1[doc[x]], p2[doc[x]], pos[x] - left[x], pos[x] + right[x]]) if len(x) else np.zeros((4, 0), np.int64)
-            about = np.stack([p1[doc[m]], p2[doc[m]], pos[m], left[m], right[m], many[mine].astype(np.int64)])
-            out.append((int(s), lcp.tobytes(), tails, about.astype(np.int64).tobytes(), spans.astype(np.int64).tobytes()))
+            mine = part == s
+            lcp, tails = _front_code(rows[first[mine]]) if mine.any() else (np.zeros(0, np.uint16), b"")
+            out.append((int(s), lcp.tobytes(), tails, about[:, mine].tobytes(), known[:, spread == s].tobytes()))
         types = (pa.int32(), *[pa.binary()] * 4)
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], ["slice", "lcp", "tails", "about", "known"])
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], ["slice", "lcp", "tails", "about", "known"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in chunks(batches, limit=CHUNK):
+            for rows, about in records(batch):
+                held.append((rows, about))
+                size += len(rows)
+                if size > 40_000:
+                    yield pack(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held], axis=1))
+                    held, size = [], 0
+        if size:
+            yield pack(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held], axis=1))
 
     return run
 
