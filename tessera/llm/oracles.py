@@ -63,3 +63,23 @@ FROM norm WINDOW w AS (PARTITION BY t)
 """
 
 SQL = {"op1_mix_sources": OP1, "op3_line_dedup": OP3, "op8_exact_dedup": OP8}
+
+OP5 = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex({LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), link AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y USING (shingle) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * c >= 75 * (s.n + t.n - c)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b
+), named AS (
+  SELECT a AS doc_id, min(b) AS component_id, count(*) AS class_size FROM reach GROUP BY a
+)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, component_id, class_size FROM w LEFT JOIN sizes USING (doc_id) JOIN named USING (doc_id)
+"""
+SQL["op5_jaccard_join"] = OP5
