@@ -46,3 +46,15 @@ def tasks_for(spark: SparkSession) -> int:
 def packed_row(docs: DataFrame) -> Column:
     """All columns of a row as one struct, so that added names can't clash."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows, those with the smallest 64-bit hashes in column ``key``.
+
+    Rows are thinned by a bound on the hash before they are sorted, so the
+    task that sorts reads a few times ``most`` rows however many there are.
+    """
+    n = rows.count()
+    if n > 4 * most:
+        rows = rows.where(F.col(key) < -(1 << 63) + int(2**64 * 4 * most / n))
+    return rows.orderBy(*rows.columns).limit(most)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed_row
+from .common import bounded_sample, packed_row
 from .vectors import _LOWER, chunks, text_bytes
 
 #: Bytes of a window, byte embedding size, filter widths and filters of each width.
@@ -130,17 +130,15 @@ def held_out(doc_id: Column, fold_no: int = 2, folds: int = 4) -> Column:
 def train_network(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_texts: int, epochs: int):
     """The network and its languages, from at most ``max_texts`` labelled texts outside the held-out fold."""
     text, spot = F.col(text_col), lambda j: F.pmod(F.xxhash64(F.col(id_col), F.lit(j)), F.greatest(F.lit(1), F.length(text_col) - 200)) + 1
-    sample = (
+    labelled = (
         docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}"))
         .select(
             F.xxhash64(F.lit(3), F.col(id_col)).alias("key"),
             F.col(lang_col).alias("lang"),
             *[F.substr(text, spot(j).cast("int"), F.lit(WINDOW)).alias(f"w{j}") for j in range(2)],
         )
-        .orderBy("key", "lang", "w0", "w1")
-        .limit(max_texts)
-        .toArrow()
     )
+    sample = bounded_sample(labelled, "key", max_texts).toArrow()
     langs = sorted(set(sample.column("lang").to_pylist()))
     if not langs:
         return None, []
