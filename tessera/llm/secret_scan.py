@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample
 from .vectors import chunks
 
 #: Shapes of well-known credentials, case-insensitive for hex.
@@ -244,10 +245,8 @@ def scan_secrets(
     """
     spark = docs.sparkSession
     text = F.col(text_col)
-    sample = (
-        docs.where(text.isNotNull()).select(F.xxhash64(F.lit(17), F.col(id_col)).alias("k"), F.substring(text, 1, 20_000).alias("t"))
-        .orderBy("k", "t").limit(vocabulary_texts).toArrow()
-    )
+    texts = docs.where(text.isNotNull()).select(F.xxhash64(F.lit(17), F.col(id_col)).alias("k"), F.substring(text, 1, 20_000).alias("t"))
+    sample = bounded_sample(texts, "k", vocabulary_texts).toArrow()
     vocabulary = Vocabulary(sample.column("t").to_pylist())
     findings = findings or labelled_findings(sorted(vocabulary.words)[::7])
     x = np.array([features(*f[:4], vocabulary) for f in findings])
