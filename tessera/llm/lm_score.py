@@ -241,7 +241,15 @@ def lm_scores(
 
     counts = materialise(train.mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-words")
     n_total, n_types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("h")).first()
-    top = counts.orderBy(F.desc("n"), "h").limit(head).toArrow()
+    # The head is whole bands of counts, at most ``head`` words: no sort, and no task gathers candidates.
+    band = F.floor(F.log("n") / math.log(1.05))
+    least, words_so_far = None, 0
+    for r in counts.groupBy(band.alias("band")).count().orderBy(F.desc("band")).collect():
+        words_so_far += r["count"]
+        if words_so_far > head:
+            break
+        least = r["band"]
+    top = counts.where(band >= least if least is not None else F.lit(False)).toArrow()
     top_h = top.column("h").to_numpy().view(U64)
     order = np.argsort(top_h)
     top_h, top_n = top_h[order], top.column("n").to_numpy()[order]
