@@ -16,6 +16,8 @@ from .vectors import U64, chunks, long_column, mix, shingle_sets, text_bytes
 
 #: Bits of the fixed-size marks that are broadcast (16 MB).
 MARK_BITS = 27
+#: Prefixes hold small hashes, so their slices come from another hash.
+_SPREAD = U64(0xE7037ED1A0B428DB)
 
 
 def _node(shingles: np.ndarray) -> np.uint64:
@@ -95,10 +97,11 @@ def _hot_marks(least: int, most: int):
 
 
 def _bitmap(parts: DataFrame) -> bytes:
-    bits = np.zeros(1 << MARK_BITS, bool)
+    bits = np.zeros(1 << (MARK_BITS - 3), np.uint8)
     for row in parts.toLocalIterator():
-        bits[np.frombuffer(row[0], np.uint32)] = True
-    return np.packbits(bits, bitorder="little").tobytes()
+        at = np.frombuffer(row[0], np.uint32)
+        np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    return bits.tobytes()
 
 
 def _test(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -118,19 +121,21 @@ def _prefixes(k: int, percent: int, slices: int, hot):
         def pack(items):
             nodes = np.array([x[0] for x in items], U64)
             sizes = np.array([x[1] for x in items], np.uint32)
+            colds = np.array([x[3] for x in items], np.uint32)
             h = np.concatenate([x[2] for x in items])
+            frequent = np.concatenate([np.arange(len(x[2])) >= x[3] for x in items])
             owner = np.repeat(np.arange(len(items)), [len(x[2]) for x in items])
-            part, low = split_slices(h, slices)
+            part, low = split_slices(mix(h ^ _SPREAD), slices)
             order = np.argsort(part, kind="stable")
-            low, owner = low[order], owner[order]
+            low, owner, frequent = low[order], owner[order], frequent[order]
             cut = np.searchsorted(part[order], np.arange(slices + 1))
             rows = []
             for s in np.flatnonzero(np.diff(cut)):
                 a, b = cut[s], cut[s + 1]
                 used, at = np.unique(owner[a:b], return_inverse=True)
-                rows.append((int(s), low[a:b].tobytes(), at.astype(np.uint16).tobytes(), nodes[used].tobytes(), sizes[used].tobytes()))
-            types = (pa.int32(), *[pa.binary()] * 4)
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["slice", "low", "at", "nodes", "sizes"])
+                rows.append((int(s), low[a:b].tobytes(), (at * 2 + frequent[a:b]).astype(np.uint16).tobytes(), nodes[used].tobytes(), sizes[used].tobytes(), colds[used].tobytes()))
+            types = (pa.int32(), *[pa.binary()] * 5)
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["slice", "low", "at", "nodes", "sizes", "colds"])
 
         items, held = [], 0
         for node, s in _new_sets(batches, k):
@@ -138,9 +143,9 @@ def _prefixes(k: int, percent: int, slices: int, hot):
             take = n - -(-percent * n // 100) + 1
             flag = _test(bits, _mark(s, slices))
             first = np.concatenate([s[flag == 0], s[flag == 1]])[:take]
-            items.append((node, n, first))
+            items.append((node, n, first, int((flag == 0).sum())))
             held += take
-            if held > 1_500_000 or len(items) >= 60_000:
+            if held > 1_500_000 or len(items) >= 30_000:
                 yield pack(items)
                 items, held = [], 0
         if items:
@@ -152,33 +157,36 @@ def _prefixes(k: int, percent: int, slices: int, hot):
 def _regions(percent: int, leaf: int):
     """The neighbours of each prefix shingle: all pairs of a few, else a star.
 
-    Rows (a, b, na, nb, common, kind): kind 0, a pair and the number of prefix
-    shingles it was found by; 1, member b of the region of pivot a; 2, how
-    many prefix shingles of a lie in large regions.
+    Rows (a, b, na, nb, ca, cb, common, kind), where n is a set's size and c
+    the number of its infrequent shingles. Kind 0: a pair and the number of
+    prefix shingles it was found by; 1: member b of the region of pivot a; 2:
+    how many prefix shingles of a lie in large regions; 3: how many infrequent
+    ones of a, a set of mostly frequent shingles, are shared at all.
     """
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        low, node, size = [], [], []
+        parts = []
         for r in rows.to_pylist():
             at = np.frombuffer(r["at"], np.uint16)
-            low.append(np.frombuffer(r["low"], np.uint32))
-            node.append(np.frombuffer(r["nodes"], U64)[at])
-            size.append(np.frombuffer(r["sizes"], np.uint32)[at])
-        low, node, size = (np.concatenate(x) for x in (low, node, size))
+            read = lambda c, t: np.frombuffer(r[c], t)[at >> 1]  # noqa: B023, E731
+            parts.append((np.frombuffer(r["low"], np.uint32), at & 1, read("nodes", U64), read("sizes", np.uint32), read("colds", np.uint32)))
+        low, frequent, node, size, cold = (np.concatenate(x) for x in zip(*parts))
         # Only shingles met twice matter; nodes met in several tasks count once.
         order = np.argsort(low, kind="stable")
-        low, node, size = low[order], node[order], size[order]
-        twice = np.zeros(len(low), bool)
-        twice[1:] = low[1:] == low[:-1]
+        x = low[order]
+        twice = np.zeros(len(x), bool)
+        twice[1:] = x[1:] == x[:-1]
         twice[:-1] |= twice[1:]
-        low, node, size = low[twice], node[twice], size[twice].astype(np.int64)
-        order = np.lexsort((node, low))
-        low, node, size = low[order], node[order], size[order]
+        order = order[twice]
+        order = order[np.lexsort((node[order], low[order]))]
+        low, frequent, node = low[order], frequent[order], node[order]
+        size, cold = size[order].astype(np.int64), cold[order].astype(np.int64)
         new = np.ones(len(low), bool)
         new[1:] = (low[1:] != low[:-1]) | (node[1:] != node[:-1])
-        low, node, size = low[new], node[new], size[new]
+        low, frequent, node, size, cold = low[new], frequent[new], node[new], size[new], cold[new]
         first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]])) if len(low) else np.zeros(0, np.int64)
         length = np.diff(np.concatenate([first, [len(low)]]))
+        out, tally = [], lambda a, b, kind: out.append(_tally(node, size, cold, a, b, kind))
         found = []
         for m in range(2, leaf + 1):
             at = first[length == m][:, None]
@@ -187,43 +195,49 @@ def _regions(percent: int, leaf: int):
                     a, b = (at + i)[:, 0], (at + j)[:, 0]
                     near = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
                     found.append(np.stack([a[near], b[near]]))
-        out = []
         if found:
-            a, b = np.concatenate(found, axis=1)
-            out.append(_tally(node[a], node[b], size[a], size[b], 0))
+            tally(*np.concatenate(found, axis=1), 0)
         big = length > leaf
         if big.any():
             member = np.flatnonzero(np.repeat(big, length))
             starts, lengths = first[big], length[big]
-            rank = mix(node[member])
+            # The pivot is the set with the fewest infrequent shingles: the middle of a group of near copies.
             run_of = np.repeat(np.arange(len(starts)), lengths)
-            best = np.minimum.reduceat(rank, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
-            pivot = member[np.flatnonzero(rank == best[run_of])][run_of]
-            out.append(_tally(node[pivot], node[member], size[pivot], size[member], 1))
-            out.append(_tally(node[member], node[member], size[member], size[member], 2))
+            order = np.lexsort((mix(node[member]), cold[member], run_of))
+            pivot = member[order[np.concatenate([[0], np.cumsum(lengths)[:-1]])]][run_of]
+            tally(pivot, member, 1)
+            tally(member, member, 2)
+        take = size + percent * -size // 100 + 1
+        shared = np.repeat(length > 1, length) & (frequent == 0) & (cold < take)
+        at = np.flatnonzero(shared)
+        tally(at, at, 3)
         return _pair_table(out)
 
     return run
 
 
-def _tally(a, b, na, nb, kind):
-    """Equal pairs (a before b, but for stars) added up."""
+def _tally(node, size, cold, a, b, kind):
+    """Equal pairs (the smaller node first, but for stars) added up."""
     if kind == 0:
-        swap = a > b
-        a, b, na, nb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)
-    order = np.lexsort((b, a))
-    a, b, na, nb = a[order], b[order], na[order], nb[order]
-    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-    return a[first], b[first], na[first], nb[first], np.diff(np.concatenate([first, [len(a)]])), np.full(len(first), kind)
+        swap = node[a] > node[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+    order = np.lexsort((node[b], node[a]))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (node[a][1:] != node[a][:-1]) | (node[b][1:] != node[b][:-1])
+    first = np.flatnonzero(new)
+    n = np.diff(np.concatenate([first, [len(a)]]))
+    a, b = a[first], b[first]
+    return node[a], node[b], size[a], size[b], cold[a], cold[b], n, np.full(len(first), kind)
 
 
-def _pair_table(parts) -> pa.Table:
-    names = ["a", "b", "na", "nb", "common", "kind"]
-    columns = [np.concatenate(c) for c in zip(*parts)] or [np.zeros(0, np.int64)] * 6
-    return pa.table({n: long_column(c) for n, c in zip(names, columns)})
+_NAMES = ["a", "b", "na", "nb", "ca", "cb", "common", "kind"]
+_PAIRS = ", ".join(f"{n} long" for n in _NAMES)
 
 
-_PAIRS = "a long, b long, na long, nb long, common long, kind long"
+def _pair_table(parts) -> pa.Table:
+    columns = [np.concatenate(c) for c in zip(*parts)] or [np.zeros(0, np.int64)] * len(_NAMES)
+    return pa.table({n: long_column(c) for n, c in zip(_NAMES, columns)})
 
 
 def _wanted_marks(slices: int):
@@ -284,7 +298,7 @@ def jaccard_components(
     text_col: str = "text",
     k: int = 5,
     percent: int = 75,
-    leaf: int = 8,
+    leaf: int = 16,
     hot: int = 16,
     rounds: int = 4,
 ) -> DataFrame:
@@ -330,11 +344,11 @@ def jaccard_components(
         )
     )
     found = materialise(
-        texts.mapInArrow(_prefixes(k, percent, slices, hot_bits), "slice int, low binary, at binary, nodes binary, sizes binary")
+        texts.mapInArrow(_prefixes(k, percent, slices, hot_bits), "slice int, low binary, at binary, nodes binary, sizes binary, colds binary")
         .groupBy("slice")
         .applyInArrow(_regions(percent, leaf), _PAIRS)
         .groupBy("kind", "a", "b")
-        .agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("common").alias("common")),
+        .agg(*[F.first(c).alias(c) for c in ("na", "nb", "ca", "cb")], F.sum("common").alias("common")),
         "jac-found",
     )
     # Shared prefix shingles in large regions were not counted by pair.
@@ -350,8 +364,8 @@ def jaccard_components(
         )
         .select("a", "b", "na", "nb")
     )
-    star = found.where("kind = 1").select("a", "b", "na", "nb")
-    pairs = materialise(_ordered(few.union(star.where("a <> b"))), "jac-pairs")
+    star = found.where("kind = 1").select("a", "b", "na", "nb", "ca", "cb")
+    pairs = materialise(_ordered(few.union(star.where("a <> b").select("a", "b", "na", "nb"))), "jac-pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted_bits = spark.sparkContext.broadcast(
         _bitmap(wanted.groupBy(F.pmod(F.hash("node"), F.lit(slices))).applyInArrow(_wanted_marks(slices), "marks binary"))
@@ -374,7 +388,12 @@ def jaccard_components(
     measured = measure(pairs, "jac-measured")
     links = measured.where(_linked(percent)).select("a", "b")
     labels = components(links)
-    members = star.select(F.col("a").alias("region"), F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("nb").alias("n"))
+    shared = found.where("kind = 3").select(F.col("a").alias("node"), F.col("common").alias("shared"))
+    members = (
+        star.select(F.col("a").alias("region"), F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("nb").alias("n"), F.col("cb").alias("cold"), F.col("ca").alias("pivot_cold"))
+        .join(shared, "node", "left")
+        .withColumn("shared", F.coalesce("shared", F.lit(0)))
+    )
     for i in range(rounds + 1):
         members = _next_members(members, measured, labels, percent)
         if members.isEmpty():
@@ -410,27 +429,47 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _next_members(members: DataFrame, measured: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Split each region into rings around its pivot; keep those with work left."""
+    """Split each region into rings around its pivot; keep those with work left.
+
+    A member x shares with any other set at most what it shares with the
+    pivot and what it has besides that others have too: infrequent prefix
+    shingles met twice, infrequent ones behind the prefix, and frequent ones
+    outside the pivot. That bounds the size of a set that x can link to, and
+    x leaves a region whose sets are all larger.
+    """
     r = 1 - percent / 100
     d = 1 - F.col("common") / (F.col("ma") + F.col("mb") - F.col("common"))
     both = measured.select("a", "b", F.col("na").alias("ma"), F.col("nb").alias("mb"), "common")
     both = both.union(both.select("b", "a", "mb", "ma", "common"))
     near = _labelled(members.where("node <> pivot"), labels).join(
-        both.select(F.col("a").alias("pivot"), F.col("b").alias("node"), d.alias("d")), ["pivot", "node"]
+        both.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "common", d.alias("d")), ["pivot", "node"]
     )
+    take = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1
+    behind = F.greatest(F.col("cold") - take, F.lit(0))
+    within = F.when(F.col("cold") < take, F.col("shared")).otherwise(F.least("cold", take))
+    outside = F.greatest(F.col("n") - F.col("cold") - F.col("common") + F.least("cold", "pivot_cold"), F.lit(0))
+    most = (F.col("common") + within + behind + outside) * ((100 + percent) / percent) - F.col("n") + 1e-6
     # Members in the pivot's ball are settled among themselves; a region is
     # done unless nodes of other components stay outside the ball.
     ring = F.floor(F.col("d") / r)
     upper = F.floor((F.col("d") + r + 1e-9) / r)
-    rings = near.select("region", "node", "n", "label", "d", F.explode(F.array_distinct(F.array(ring, upper))).alias("ring"))
-    rings = rings.select(F.xxhash64("region", "ring").alias("region"), "node", "n", "label").distinct()
+    kept = ["node", "n", "cold", "shared", "label", "most"]
+    rings = (
+        near.withColumn("most", most)
+        .select("region", *kept, F.explode(F.array_distinct(F.array(ring, upper))).alias("ring"))
+        .select(F.xxhash64("region", "ring").alias("region"), *kept)
+        .groupBy("region", *kept[:-1])
+        .agg(F.min("most").alias("most"))
+    )
+    least = rings.groupBy("region").agg(F.min("n").alias("least"))
+    rings = rings.join(least, "region").where("most >= least").drop("least")
     live = rings.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("region")
     return materialise(rings.join(live, "region", "left_semi"), "jac-members")
 
 
 def _rank() -> Column:
-    """Pivots are drawn by component, so that a large settled one is not drawn again and again."""
-    return F.struct(F.xxhash64("label", "region"), F.xxhash64("node", "region"))
+    """Pivots are the sets with the fewest infrequent shingles."""
+    return F.struct("cold", F.xxhash64("label", "region"), F.xxhash64("node", "region"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -443,8 +482,10 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _elect(members: DataFrame, leaf: int) -> DataFrame:
-    best = members.groupBy("region").agg(F.min_by("node", _rank()).alias("pivot"), F.count(F.lit(1)).alias("m"))
-    return members.join(best.where(F.col("m") > leaf), "region").select("region", "pivot", "node", "n")
+    best = members.groupBy("region").agg(F.min_by(F.struct("node", "cold"), _rank()).alias("p"), F.count(F.lit(1)).alias("m"))
+    return members.join(best.where(F.col("m") > leaf), "region").select(
+        "region", F.col("p.node").alias("pivot"), "node", "n", "cold", F.col("p.cold").alias("pivot_cold"), "shared"
+    )
 
 
 def _next_pairs(members: DataFrame, leaf: int, percent: int) -> DataFrame:
@@ -457,11 +498,12 @@ def _next_pairs(members: DataFrame, leaf: int, percent: int) -> DataFrame:
         F.col("p.node").alias("a"), F.col("node").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb")
     )
     small = x.where(F.col("m") <= leaf)
-    y = small.select("region", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    y = small.select("region", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("most").alias("mb"))
     full = (
-        small.select("region", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+        small.select("region", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("most").alias("ma"))
         .join(y, "region")
         .where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")))
+        .where((F.col("nb") <= F.col("ma")) & (F.col("na") <= F.col("mb")))
         .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         .select("a", "b", "na", "nb")
     )
