@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, tasks_for
-from .counting import PACKED, Tally, pack_counts, split_slices, unpack_counts
+from .counting import Tally, split_slices
 from .vectors import U64, chunks, long_column, mix, text_bytes, word_bounds, words
 
 #: The token that ends a text; as a history it also stands for its beginning.
 END = mix(np.array([0xE4D], U64))[0]
-#: Bases of the count levels and the size of one filter.
+#: The base of the count levels.
 LEVEL_BASE = 1.5
 _PAIR = U64(0xD6E8FEB86659FD93)
 _LEVEL_LOW = np.unique(np.floor(LEVEL_BASE ** np.arange(0, 110)).astype(np.float64))
@@ -71,18 +72,58 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
-def _ship_grams(slices: int):
-    """Pre-aggregated n-gram counts, packed by slice of the hash space."""
+def _gather(most: int):
+    """Rows packed to chunks of about ``most`` bytes of text: what one round of probes covers."""
+
+    def pack(held):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for batch in held:
+                out.write_batch(batch)
+        return pa.record_batch([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally(4_000_000)
+        held, size = [], 0
         for batch in chunks(batches):
-            tokens, bounds = _tokens(batch)
-            tally.add(np.concatenate([tokens, _pairs(tokens, bounds)]))
-            if tally.full():
-                yield pack_counts(*tally.take(), slices)
-        if tally.parts:
-            yield pack_counts(*tally.take(), slices)
+            held.append(batch)
+            size += batch.nbytes
+            if size >= most:
+                yield pack(held)
+                held, size = [], 0
+        if held:
+            yield pack(held)
+
+    return run
+
+
+def _unpack(rows: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The rows of a chunk, their token hashes and n + 1 bounds."""
+    batches = pa.ipc.open_stream(rows).read_all().to_batches()
+    parts = [_tokens(b) for b in batches]
+    starts = np.cumsum([0, *(len(t) for t, _ in parts)])
+    bounds = np.concatenate([[0], *(b[1:] + s for (_, b), s in zip(parts, starts))])
+    return pa.Table.from_batches(batches), np.concatenate([t for t, _ in parts]), bounds
+
+
+def _ship_grams(slices: int):
+    """The distinct n-grams of each chunk by slice of the hash space, in the order of their hashes, and how often each is trained on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, rows in zip(batch.column("chunk").to_pylist(), batch.column("rows")):
+                table, tokens, bounds = _unpack(rows.as_py())
+                held_out = table.column("held_out").to_numpy()
+                trained = np.repeat(~held_out.astype(bool), np.diff(bounds))
+                grams, back = np.unique(np.concatenate([tokens, _pairs(tokens, bounds)]), return_inverse=True)
+                n = np.bincount(back, np.concatenate([trained, trained]), len(grams)).astype(np.int64)
+                part, low = split_slices(grams, slices)
+                cut = np.searchsorted(part, np.arange(slices + 1))
+                out = []
+                for s in np.flatnonzero(np.diff(cut)):
+                    m = n[cut[s] : cut[s + 1]]
+                    out.append((int(s), chunk, low[cut[s] : cut[s + 1]].tobytes(), np.minimum(m, 255).astype(np.uint8).tobytes(), m[m >= 255].tobytes()))
+                types = (pa.int32(), pa.int64(), *[pa.binary()] * 3)
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], ["slice", "chunk", "low", "n", "more"])
 
     return run
 
@@ -94,21 +135,36 @@ def _positions(low: np.ndarray, q, hashes: int, bits: int) -> np.ndarray:
     return np.stack([((a + U64(i) * b) & U64(0xFFFFFFFF)) * U64(bits) >> U64(32) for i in range(hashes)])
 
 
-def _fill(most_bytes: int, bits_per_item: int):
-    """One slice's part of the filter, as large as its items need or the cap allows."""
-
-    def run(key: tuple[pa.Scalar, ...], tables: pa.Table) -> pa.Table:
-        low, n = unpack_counts(tables)
-        q = level(n)
-        items = int(q.sum())
-        size = min(max(8, items * bits_per_item // 8 + 1), most_bytes)
-        hashes = max(1, min(8, round(math.log(2) * size * 8 / items)))
-        filled = np.zeros(size * 8, bool)
-        for j in range(1, int(q.max()) + 1):
-            filled[_positions(low[q >= j], j, hashes, size * 8)] = True
-        return pa.table(
-            {"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(filled, bitorder="little").tobytes()], pa.binary()), "hashes": pa.array([hashes], pa.int32())}
-        )
+def fill(low: np.ndarray, n: np.ndarray, bits_per_item: int) -> tuple[bytes, int]:
+    """One slice's part of the filter, as large as its items need, and its number of hash functions."""
+    q = level(n)
+    items = int(q.sum())
+    size = max(8, items * bits_per_item // 8 + 1)
+    hashes = max(1, min(8, round(math.log(2) * size * 8 / max(1, items))))
+    filled = np.zeros(size * 8, bool)
+    for j in range(1, int(q.max(initial=0)) + 1):
+        filled[_positions(low[q >= j], j, hashes, size * 8)] = True
+    return np.packbits(filled, bitorder="little").tobytes(), hashes
+
+
+def _answer(slices: int, bits_per_item: int):
+    """The owner of a slice adds up its counts, fills its part of the filter and answers the probes of every chunk."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        lows = [np.frombuffer(x.as_py(), np.uint32) for x in rows.column("low")]
+        counts = []
+        for x, more in zip(rows.column("n"), rows.column("more")):
+            m = np.frombuffer(x.as_py(), np.uint8).astype(np.int64)
+            m[m == 255] = np.frombuffer(more.as_py(), np.int64)
+            counts.append(m)
+        low, back = np.unique(np.concatenate(lows), return_inverse=True)
+        n = np.zeros(len(low), np.int64)
+        np.add.at(n, back, np.concatenate(counts))
+        s = key[0].as_py()
+        model = LogFrequencyFilter({s: fill(low[n > 0], n[n > 0], bits_per_item)}, slices)
+        q = model.probe(np.full(len(low), s), low).astype(np.uint8)[back]
+        cut = np.cumsum([0, *map(len, lows)])
+        return pa.table({"chunk": rows.column("chunk"), "slice": rows.column("slice"), "levels": pa.array([q[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())})
 
     return run
 
@@ -124,8 +180,10 @@ class LogFrequencyFilter:
         self.hashes = np.array([parts[s][1] if s in parts else 0 for s in range(slices)])
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        part, low = split_slices(h, self.slices)
-        q = np.zeros(len(h), np.int64)
+        return self.probe(*split_slices(h, self.slices))
+
+    def probe(self, part: np.ndarray, low: np.ndarray) -> np.ndarray:
+        q = np.zeros(len(low), np.int64)
         size = ((self.start[1:] - self.start[:-1]) * 8)[part]
         live = np.flatnonzero(size > 0)
         j = 1
@@ -146,14 +204,13 @@ class LogFrequencyFilter:
         return q
 
 
-def _score(shared, n_total: int, n_types: int, prior: float):
+def _score(shared, n_total: int, n_types: int, prior: float, slices: int):
     """Per text: counts, the share of the base score that the head explains, and the model's score."""
     scale = n_total + n_types + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_h, head_n, parts, slices = shared.value
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        head_h, head_n = shared.value
         head_h, head_n = np.frombuffer(head_h, U64), np.frombuffer(head_n, np.int64)
-        model = LogFrequencyFilter(parts, slices)
 
         def exact(u):
             if not len(head_h):
@@ -162,44 +219,47 @@ def _score(shared, n_total: int, n_types: int, prior: float):
             found = head_h[at] == u
             return found, np.where(found, head_n[at], 0).astype(float)
 
-        for batch in chunks(batches):
-            tokens, bounds = _tokens(batch)
-            u, back = np.unique(tokens, return_inverse=True)
-            in_head, count = exact(u)
-            estimate = count.copy()
-            estimate[~in_head] = level_value(model.levels(u[~in_head]))
-            pairs, pair_back = np.unique(_pairs(tokens, bounds), return_inverse=True)
-            seen = level_value(model.levels(pairs))[pair_back]
-            before = np.empty_like(back)
-            before[1:] = back[:-1]
-            before[bounds[:-1]] = np.searchsorted(u, END)
-            history = estimate[before]
-            seen = np.minimum(seen, np.minimum(history, estimate[back]))
-            p = (seen + prior * (estimate[back] + 1) / scale) / (history + prior)
-            sums = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  no text is without a token
-            known = in_head[back]
-            # Words outside the head: distinct per text, to be counted by a join.
-            rest = np.flatnonzero(~known)
-            doc = np.searchsorted(bounds, rest, side="right") - 1
-            code, m = np.unique(doc.astype(np.int64) * len(u) + back[rest], return_counts=True)
-            owner = code // max(1, len(u))
-            tail = pa.ListArray.from_arrays(
-                pa.array(np.searchsorted(owner, np.arange(len(bounds))), pa.int32()),
-                pa.StructArray.from_arrays([long_column(u[code % max(1, len(u))]), long_column(m)], ["h", "m"]),
-            )
-            yield pa.record_batch(
-                [
-                    batch.column("doc_id"),
-                    batch.column("held_out"),
-                    batch.column("print"),
-                    long_column(np.diff(bounds)),
-                    long_column(sums(known.astype(np.int64))),
-                    pa.array(sums(np.where(known, np.log10(count[back] + 1), 0.0))),
-                    pa.array(sums(np.log10(p))),
-                    tail,
-                ],
-                ["doc_id", "held_out", "print", "n_tokens", "n_head", "head_log", "score", "tail"],
-            )
+        table, tokens, bounds = _unpack(left.column("rows")[0].as_py())
+        pairs = _pairs(tokens, bounds)
+        grams = np.unique(np.concatenate([tokens, pairs]))
+        cut = np.searchsorted(split_slices(grams, slices)[0], np.arange(slices + 1))
+        levels = np.zeros(len(grams), np.uint8)
+        for s, found in zip(right.column("slice").to_pylist(), right.column("levels")):
+            levels[cut[s] : cut[s + 1]] = np.frombuffer(found.as_py(), np.uint8)
+        u, back = np.unique(tokens, return_inverse=True)
+        in_head, count = exact(u)
+        estimate = np.where(in_head, count, level_value(levels[np.searchsorted(grams, u)]))
+        seen = level_value(levels[np.searchsorted(grams, pairs)])
+        before = np.empty_like(back)
+        before[1:] = back[:-1]
+        before[bounds[:-1]] = np.searchsorted(u, END)
+        history = estimate[before]
+        seen = np.minimum(seen, np.minimum(history, estimate[back]))
+        p = (seen + prior * (estimate[back] + 1) / scale) / (history + prior)
+        sums = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  no text is without a token
+        known = in_head[back]
+        # Words outside the head: distinct per text, to be counted by a join.
+        rest = np.flatnonzero(~known)
+        doc = np.searchsorted(bounds, rest, side="right") - 1
+        code, m = np.unique(doc.astype(np.int64) * len(u) + back[rest], return_counts=True)
+        owner = code // max(1, len(u))
+        tail = pa.ListArray.from_arrays(
+            pa.array(np.searchsorted(owner, np.arange(len(bounds))), pa.int32()),
+            pa.StructArray.from_arrays([long_column(u[code % max(1, len(u))]), long_column(m)], ["h", "m"]),
+        )
+        return pa.table(
+            [
+                table.column("doc_id"),
+                table.column("held_out"),
+                table.column("print"),
+                long_column(np.diff(bounds)),
+                long_column(sums(known.astype(np.int64))),
+                pa.array(sums(np.where(known, np.log10(count[back] + 1), 0.0))),
+                pa.array(sums(np.log10(p))),
+                tail,
+            ],
+            ["doc_id", "held_out", "print", "n_tokens", "n_head", "head_log", "score", "tail"],
+        )
 
     return run
 
@@ -211,18 +271,20 @@ def lm_scores(
     fold: int = 2,
     folds: int = 7,
     head: int = 500_000,
-    filter_bytes: int = 64 << 20,
     bits_per_item: int = 12,
     prior: float = 200.0,
+    chunk_bytes: int = 8 << 20,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Training texts are those whose crc32(id as text) mod ``folds`` is not
-    ``fold``. Their 1- and 2-gram counts are pre-aggregated in the map tasks,
-    packed by hash slice, summed and quantised (levels of base 1.5); each slice
-    writes its part of one log-frequency Bloom filter, which holds (n-gram, j)
-    for every level j up to the n-gram's. ``filter_bytes`` bounds the filter
-    that is broadcast; beyond it false positives rise and nothing is left out.
+    ``fold``. Texts are packed to chunks of about ``chunk_bytes``. A chunk sends
+    its distinct 1- and 2-grams with their training counts to the owners of
+    their hash slices. An owner sums and quantises the counts (levels of base
+    1.5), fills its part of the log-frequency Bloom filter, which holds
+    (n-gram, j) for every level j up to the n-gram's at ``bits_per_item``
+    whatever the corpus, and sends the probed levels back to the chunks. So
+    the filter grows with the n-grams, slice by slice, and is never gathered.
     A probe counts upwards through the levels until one is missing.
 
     score: log10 of the product of (seen + prior * p1) / (history + prior)
@@ -254,21 +316,22 @@ def lm_scores(
     order = np.argsort(top_h)
     top_h, top_n = top_h[order], top.column("n").to_numpy()[order]
 
+    shared = spark.sparkContext.broadcast((top_h.tobytes(), top_n.astype(np.int64).tobytes()))
+
+    # Chunks are written once, so that requests and answers are about the same rows.
     slices = tasks_for(spark)
-    parts = (
-        train.mapInArrow(_ship_grams(slices), PACKED)
+    packed = materialise(base.withColumn("print", F.xxhash64("text")).mapInArrow(_gather(chunk_bytes), "chunk long, rows binary"), "lm-chunks")
+    answers = (
+        packed.mapInArrow(_ship_grams(slices), "slice int, chunk long, low binary, n binary, more binary")
         .groupBy("slice")
-        .applyInArrow(_fill(filter_bytes // slices, bits_per_item), "slice int, bits binary, hashes int")
-        .toArrow()
-        .to_pylist()
+        .applyInArrow(_answer(slices, bits_per_item), "chunk long, slice int, levels binary")
     )
-    table = {r["slice"]: (r["bits"], r["hashes"]) for r in parts}
-    shared = spark.sparkContext.broadcast((top_h.tobytes(), top_n.astype(np.int64).tobytes(), table, slices))
-
     id_type = base.schema["doc_id"].dataType.simpleString()
     main = materialise(
-        base.withColumn("print", F.xxhash64("text")).mapInArrow(
-            _score(shared, n_total, n_types, prior),
+        packed.groupBy("chunk")
+        .cogroup(answers.groupBy("chunk"))
+        .applyInArrow(
+            _score(shared, n_total, n_types, prior, slices),
             f"doc_id {id_type}, held_out boolean, print long, n_tokens long, n_head long, head_log double, score double, tail array<struct<h:long,m:long>>",
         ),
         "lm-scores",

@@ -197,6 +197,31 @@ def test_lm_scores(docs, empty):
     assert LogFrequencyFilter({}, 4).levels(np.arange(5, dtype=np.uint64)).sum() == 0
 
 
+def test_lm_filter_grows_with_the_grams(docs):
+    from tessera.llm import lm_score as m
+
+    token = lambda t: words(t) + [None]
+    training = [token(r[1]) for r in corpus() if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    ones, twos = Counter(x for t in training for x in t), Counter(x for t in training for x in zip([None, *t], t))
+    n, v = sum(ones.values()), len(ones)
+    near = lambda c: float(level_value(level(np.array([c])))[0])
+    texts = {r[0]: r[1] for r in corpus()}
+    for r in lm_scores(docs, chunk_bytes=500).collect():
+        want, before = 0.0, None
+        for x in token(texts[r.doc_id]):
+            seen = min(near(twos[before, x]), ones[before], ones[x])
+            want += math.log10((seen + 200 * (ones[x] + 1) / (n + v + 1)) / (ones[before] + 200))
+            before = x
+        assert r.score == pytest.approx(want, abs=0.02 * r.n_tokens)
+    # 1.5 million items in one slice of many: as many bits an item as few items get
+    low = np.random.default_rng(1).permutation(1 << 22).astype(np.uint32)
+    for count in (3_000, 1_500_000):
+        part = m.fill(low[:count], np.ones(count, np.int64), 12)
+        assert len(part[0]) * 8 >= 12 * count
+        q = LogFrequencyFilter({5: part}, 64).probe(np.full(len(low), 5), low)
+        assert (q[:count] >= 1).all() and (q[count:] > 0).mean() < 0.006
+
+
 def test_language_id(spark, empty):
     rng = random.Random(3)
     make = lambda parts: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(40))
