@@ -161,7 +161,9 @@ def _regions(percent: int, leaf: int):
     the number of its infrequent shingles. Kind 0: a pair and the number of
     prefix shingles it was found by; 1: member b of the region of pivot a; 2:
     how many prefix shingles of a lie in large regions; 3: how many infrequent
-    ones of a, a set of mostly frequent shingles, are shared at all.
+    ones of a, a set of mostly frequent shingles, are shared at all; 4: as 1,
+    in a region around an infrequent shingle, where kind 3 bounds nothing, as
+    members may hold infrequent shingles behind their prefixes.
     """
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -205,7 +207,10 @@ def _regions(percent: int, leaf: int):
             run_of = np.repeat(np.arange(len(starts)), lengths)
             order = np.lexsort((mix(node[member]), cold[member], run_of))
             pivot = member[order[np.concatenate([[0], np.cumsum(lengths)[:-1]])]][run_of]
-            tally(pivot, member, 1)
+            rare = np.minimum.reduceat(frequent[member], np.concatenate([[0], np.cumsum(lengths)[:-1]]))[run_of] == 0
+            for kind, some in ((1, ~rare), (4, rare)):
+                if some.any():
+                    tally(pivot[some], member[some], kind)
             tally(member, member, 2)
         take = size + percent * -size // 100 + 1
         shared = np.repeat(length > 1, length) & (frequent == 0) & (cold < take)
@@ -364,7 +369,7 @@ def jaccard_components(
         )
         .select("a", "b", "na", "nb")
     )
-    star = found.where("kind = 1").select("a", "b", "na", "nb", "ca", "cb")
+    star = found.where("kind in (1, 4)").select("kind", "a", "b", "na", "nb", "ca", "cb")
     pairs = materialise(_ordered(few.union(star.where("a <> b").select("a", "b", "na", "nb"))), "jac-pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted_bits = spark.sparkContext.broadcast(
@@ -390,9 +395,10 @@ def jaccard_components(
     labels = components(links)
     shared = found.where("kind = 3").select(F.col("a").alias("node"), F.col("common").alias("shared"))
     members = (
-        star.select(F.col("a").alias("region"), F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("nb").alias("n"), F.col("cb").alias("cold"), F.col("ca").alias("pivot_cold"))
+        star.select("kind", F.xxhash64("a", "kind").alias("region"), F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("nb").alias("n"), F.col("cb").alias("cold"), F.col("ca").alias("pivot_cold"))
         .join(shared, "node", "left")
-        .withColumn("shared", F.coalesce("shared", F.lit(0)))
+        .withColumn("shared", F.when(F.col("kind") == 4, F.col("cold")).otherwise(F.coalesce("shared", F.lit(0))))
+        .drop("kind")
     )
     for i in range(rounds + 1):
         members = _next_members(members, measured, labels, percent)
@@ -433,8 +439,9 @@ def _next_members(members: DataFrame, measured: DataFrame, labels: DataFrame, pe
 
     A member x shares with any other set at most what it shares with the
     pivot and what it has besides that others have too: infrequent prefix
-    shingles met twice, infrequent ones behind the prefix, and frequent ones
-    outside the pivot. That bounds the size of a set that x can link to, and
+    shingles (met twice, where a frequent shingle spans the region: members
+    then have all their infrequent ones in their prefixes), infrequent ones
+    behind the prefix, and frequent ones outside the pivot. That bounds the size of a set that x can link to, and
     x leaves a region whose sets are all larger.
     """
     r = 1 - percent / 100

@@ -144,6 +144,23 @@ def test_jaccard(spark, docs, empty):
     assert jaccard_components(empty).count() == 0
 
 
+def test_jaccard_keeps_links_by_shingles_behind_a_prefix(spark):
+    from tessera.llm.vectors import shingle_sets, text_bytes
+    import pyarrow as pa
+
+    # One word is one shingle; infrequent words in the order of their hashes.
+    by_hash = sorted((f"w{i}" for i in range(43)), key=lambda w: shingle_sets(*text_bytes(pa.array([w])), 1)[0][0])
+    bridge, own, both = by_hash[0], by_hash[1:26], by_hash[26:]
+    frequent, others = [f"f{i}" for i in range(57)], [f"p{i}" for i in range(80)]
+    x = [*frequent, bridge, *both]
+    texts = [x, x + own]  # 75 of 100 words shared
+    texts += [[w for j, w in enumerate(others) if j != i] + [bridge] * (i < 5) for i in range(20)]
+    texts += [frequent + [f"u{i}x{j}" for j in range(40)] for i in range(20)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_components(docs, k=1, leaf=3, hot=16).collect()}
+    assert got[0] == got[1] == 0 and got[2] == 2
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 40), (40, 60)], "a long, b long")
     got = dict(components(links).collect())
