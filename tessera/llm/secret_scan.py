@@ -22,10 +22,14 @@ PATTERNS = {
     "github_token": r"\bgh[pousr]_[0-9A-Za-z]{30,}\b",
     "slack_token": r"\bxox[abprs]-[0-9A-Za-z-]{10,}",
     "jwt": r"\beyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}",
-    "assignment": r"(?i)\b(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{6,200})",
-    "opaque": r"(?<![\w/+=.@-])(?=[A-Za-z/+_-]*[0-9])(?=[0-9/+_-]*[A-Za-z])[\w/+=-]{20,200}(?![\w@])",
+    "opaque": r"(?<![\w/+.@-])(?=[A-Za-z/+_-]*[0-9])(?=[0-9/+_-]*[A-Za-z])[\w/+=-]{20,}(?![\w@])",
 }
-_FIND = re.compile("|".join(f"(?P<{k}>{v.replace('(?i)', '')})" for k, v in PATTERNS.items()), re.IGNORECASE)
+_FIND = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()), re.IGNORECASE)
+#: Kind "assignment": what stands before ":" or "=", whatever precedes it in the name, and the value after it.
+_NAME = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?\s{0,3}\Z", re.IGNORECASE)
+_NAME_MOST = 24
+_VALUE = re.compile(r"\s{0,3}[\"']?([^\s\"']{6,})")
+_ASSIGN = re.compile(r"[:=]")
 #: A text without one of these holds no candidate.
 _HINT = re.compile(r"[=:]|-----BEGIN|[\w/+=-]{16}")
 _NEAR = re.compile(r"(?i)token|secret|passw|pwd|api.?key|access.?key|auth|credential|bearer|private")
@@ -50,7 +54,7 @@ class Vocabulary:
         counts: dict[str, int] = {}
         pairs = np.ones((27, 27))
         for t in texts:
-            for w in re.findall(r"[^\W\d_]{3,}", t.lower()):
+            for w in re.findall(r"\b[^\W\d_]{3,}\b", t.lower()):
                 counts[w] = counts.get(w, 0) + 1
         for w, n in counts.items():
             code = [ord(c) - 96 if "a" <= c <= "z" else 0 for c in w]
@@ -120,7 +124,8 @@ class RandomForest:
             gini = k * (n - k) / n + j * (m - j) / m
             i = int(gini.argmin())
             if best is None or gini[i] < best[0]:
-                best = (gini[i], f, (v[cut[i]] + v[cut[i] + 1]) / 2)
+                middle = (v[cut[i]] + v[cut[i] + 1]) / 2
+                best = (gini[i], f, middle if middle < v[cut[i] + 1] else v[cut[i]])
         if best is None:
             return p
         left = x[:, best[1]] <= best[2]
@@ -161,12 +166,15 @@ def labelled_findings(words: list[str], n: int = 1500, seed: int = 4) -> list[tu
     for _ in range(n):
         q = some(['"', "'", ""])
         name = some(names) if rng.random() < 0.85 else some(words)
-        shape = int(rng.integers(0, 6))
+        shape = int(rng.integers(0, 8))
         value = [
             pick(hexes, int(some([32, 40, 64]))), pick(hexes.upper(), 40), pick(alnum, int(rng.integers(16, 64))),
             pick(alnum + "/+", 40), "AK" + "IA" + pick(string.ascii_uppercase + string.digits, 16), "gh" + "p_" + pick(alnum, 36),
+            pick(hexes, int(some([256, 512]))), pick(alnum + "/+", int(rng.integers(200, 800))),
         ][shape]
         kind = {4: "aws_access_key", 5: "github_token"}.get(shape, "assignment" if name in names else "opaque")
+        if rng.random() < 0.3:
+            name = some(["client", "db", "aws_secret", "my-app", "access"]) + some(["_", "-"]) + name
         if rng.random() < 0.3:
             name = name.upper()
         if rng.random() < 0.15:
@@ -178,6 +186,7 @@ def labelled_findings(words: list[str], n: int = 1500, seed: int = 4) -> list[tu
             "-".join(word), "_".join(word) + number, "/" + "/".join(word) + ".html", "your_" + name.lower() + "_here",
             "x" * int(rng.integers(8, 30)), "${" + word[0].upper() + "}", "example-" + word[0] + number, word[0] + word[1] + number,
             ".".join(word), "0" * int(rng.integers(8, 30)), word[0], "https://" + word[0] + ".com/" + word[1] + "/" + number,
+            "-".join(some(words) for _ in range(60)), "/" + "/".join(some(words) for _ in range(50)) + number, "=-"[shape % 2] * int(rng.integers(200, 800)),
         ]
         value = some(wrong)
         kind = some(["assignment", "opaque"])
@@ -190,11 +199,20 @@ def candidates(text: str) -> Iterator[tuple[int, int, str]]:
     """Start, end and kind of every candidate of a text."""
     if not _HINT.search(text):
         return
-    for m in _FIND.finditer(text):
-        kind = next(k for k in PATTERNS if m.group(k) is not None)
-        value = next((g for g in m.groups()[1:] if g is not None and m.group(kind) != g and m.group(kind).endswith(g)), None) if kind == "assignment" else None
-        start = m.end() - len(value) if value else m.start()
-        yield start, m.end(), kind
+    done = 0
+    for m in _ASSIGN.finditer(text):
+        if m.start() < done:
+            continue
+        from_ = max(done, m.start() - _NAME_MOST)
+        name = _NAME.search(text[from_ : m.start()])
+        value = _VALUE.match(text, m.end()) if name else None
+        if value:
+            for x in _FIND.finditer(text, done, from_ + name.start()):
+                yield x.start(), x.end(), x.lastgroup
+            yield value.start(1), value.end(1), "assignment"
+            done = value.end(1)
+    for x in _FIND.finditer(text, done):
+        yield x.start(), x.end(), x.lastgroup
 
 
 def _scan(shared, threshold: float):
@@ -233,7 +251,7 @@ def scan_secrets(
 ) -> DataFrame:
     """doc_id, start, end, kind, value, score, is_secret: one row for each candidate.
 
-    Patterns find candidates in whole texts; a random forest scores them on
+    Patterns find candidates of any length in whole texts; a random forest scores them on
     length, character classes and their transitions, letter-pair surprise,
     dictionary cover, path-likeness, placeholders and the words beside them. It
     is trained from labelled ``findings`` (kind, value, before, after, 0 or 1),

@@ -296,6 +296,23 @@ def test_secrets(spark, empty):
     assert scan_secrets(empty).count() == 0
 
 
+def test_secret_candidates_have_no_gaps(spark):
+    from tessera.llm.secret_scan import candidates
+
+    rng = random.Random(9)
+    pick = lambda n, s="0123456789abcdef": "".join(rng.choice(s) for _ in range(n))
+    long, key = pick(256), pick(40, string.ascii_letters + string.digits)
+    cases = [(f"see {long} here", long), (f"token={long}{long}", long + long)]
+    names = ["access_token", "client_secret", "DB_PASSWORD", "AWS_SECRET_ACCESS_KEY", "key2_token"]
+    cases += [(f"export {n}={key} \n", key) for n in names] + [(f"NAME={key}", key), (f"name: {key}", key)]
+    cases += [(f"{long}/token={key}", key), (f"{long}/token={key}", long + "/")]
+    for text, value in cases:
+        assert value in [text[a:b] for a, b, _ in candidates(text)], text
+    assert [k for *_, k in candidates(f"client_secret={key} and ghp_{key}")] == ["assignment", "github_token"]
+    got = scan_secrets(spark.createDataFrame(list(enumerate(c[0] for c in cases[:7])), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.value) for r in got if r.is_secret} >= {(i, c[1]) for i, c in enumerate(cases[:7])}
+
+
 def test_edit_aware_counts(spark, docs, empty):
     encoder, rng = Encoder(open(RANKS, "rb").read()), random.Random(7)
     for text in ["", "It's 12  words\n\n here, don't  you?  " * 40, "é ü  \n" * 90]:
