@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import string
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import materialise
 from .vectors import chunks
 
 #: Shapes of well-known credentials, case-insensitive for hex.
@@ -47,20 +48,76 @@ FEATURES = (
 )
 
 
+_WORD = re.compile(r"\b[^\W\d_]{3,}\b")
+
+
+def pair_counts(counts: dict[str, int]) -> np.ndarray:
+    """How often each letter pair (27 x 27, 0 for letters but a-z) occurs in counted words."""
+    raw = np.frombuffer("".join(counts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    code = np.where((raw >= 97) & (raw <= 122), raw - 96, 0)
+    lengths = np.array([len(w) for w in counts], np.int64)
+    inside = np.ones(len(code), bool)
+    inside[np.cumsum(lengths) - 1] = False
+    at = np.flatnonzero(inside)
+    n = np.repeat(np.array(list(counts.values()), np.int64), lengths)
+    return np.bincount(code[at] * 27 + code[at + 1], n[at], 27 * 27).astype(np.int64)
+
+
 class Vocabulary:
-    """Frequent lower-case words and letter pairs of ordinary text, from the training rows."""
+    """Frequent lower-case words and letter pairs of ordinary text."""
 
     def __init__(self, texts: list[str], most: int = 20_000):
-        counts: dict[str, int] = {}
-        pairs = np.ones((27, 27))
-        for t in texts:
-            for w in re.findall(r"\b[^\W\d_]{3,}\b", t.lower()):
-                counts[w] = counts.get(w, 0) + 1
-        for w, n in counts.items():
-            code = [ord(c) - 96 if "a" <= c <= "z" else 0 for c in w]
-            np.add.at(pairs, (code[:-1], code[1:]), n)
-        self.words = set(sorted(counts, key=lambda w: (-counts[w], w))[:most])
+        counts = Counter(w for t in texts for w in _WORD.findall(t.lower()))
+        self.set(sorted(counts, key=lambda w: (-counts[w], w))[:most], pair_counts(counts) if counts else np.zeros(27 * 27))
+
+    def set(self, words: list[str], pairs: np.ndarray) -> Vocabulary:
+        self.words = set(words)
+        pairs = pairs.reshape(27, 27) + 1.0
         self.surprise = -np.log2(pairs / pairs.sum(axis=1, keepdims=True))
+        return self
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pre-aggregated counts of words, and of letter pairs (by number, without a word)."""
+    counts: Counter[str] = Counter()
+    pairs = np.zeros(27 * 27, np.int64)
+
+    def rows():
+        nonlocal pairs
+        pairs += pair_counts(counts)
+        out = pa.record_batch([pa.array(list(counts), pa.string()), pa.nulls(len(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["word", "pair", "n"])
+        counts.clear()
+        return out
+
+    for batch in chunks(batches):
+        for t in batch.column("text").to_pylist():
+            counts.update(_WORD.findall(t.lower()))
+        if len(counts) > 500_000:
+            yield rows()
+    if counts:
+        yield rows()
+    at = np.flatnonzero(pairs)
+    yield pa.record_batch([pa.nulls(len(at), pa.string()), pa.array(at, pa.int32()), pa.array(pairs[at])], ["word", "pair", "n"])
+
+
+def corpus_vocabulary(texts: DataFrame, most: int) -> Vocabulary:
+    """From all words of all texts: whole bands of the most frequent words, at most ``most``, and all letter pairs."""
+    counted = texts.mapInArrow(_count_words, "word string, pair int, n long").groupBy("word", "pair").agg(F.sum("n").alias("n"))
+    counted = materialise(counted, "secret-words")
+    words = counted.where("word is not null")
+    # No sort and no task that gathers candidates.
+    band = F.floor(F.log("n") / math.log(1.05))
+    least, so_far = None, 0
+    for r in words.groupBy(band.alias("band")).count().orderBy(F.desc("band")).collect():
+        so_far += r["count"]
+        if so_far > most:
+            break
+        least = r["band"]
+    top = words.where(band >= least if least is not None else F.lit(False)).select("word").collect()
+    pairs = np.zeros(27 * 27)
+    for r in counted.where("pair is not null").collect():
+        pairs[r["pair"]] = r["n"]
+    return Vocabulary([]).set([r["word"] for r in top], pairs)
 
 
 def features(kind: str, value: str, before: str, after: str, vocabulary: Vocabulary) -> list[float]:
@@ -247,7 +304,7 @@ def scan_secrets(
     id_col: str = "doc_id",
     text_col: str = "text",
     threshold: float = 0.5,
-    vocabulary_texts: int = 500,
+    vocabulary_words: int = 20_000,
 ) -> DataFrame:
     """doc_id, start, end, kind, value, score, is_secret: one row for each candidate.
 
@@ -255,17 +312,16 @@ def scan_secrets(
     length, character classes and their transitions, letter-pair surprise,
     dictionary cover, path-likeness, placeholders and the words beside them. It
     is trained from labelled ``findings`` (kind, value, before, after, 0 or 1),
-    by default generated ones. The dictionary comes from at most
-    ``vocabulary_texts`` texts. Offsets count code points.
+    by default generated ones. Words and letter pairs are counted over all whole
+    texts; the dictionary that is broadcast holds whole bands of the most
+    frequent words, at most ``vocabulary_words``. Offsets count code points.
 
     Null and empty texts have no candidates; repeated rows give repeated
     findings; null ids are kept; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     text = F.col(text_col)
-    texts = docs.where(text.isNotNull()).select(F.xxhash64(F.lit(17), F.col(id_col)).alias("k"), F.substring(text, 1, 20_000).alias("t"))
-    sample = bounded_sample(texts, "k", vocabulary_texts).toArrow()
-    vocabulary = Vocabulary(sample.column("t").to_pylist())
+    vocabulary = corpus_vocabulary(docs.where(text.isNotNull()).select(text.alias("text")), vocabulary_words)
     findings = findings or labelled_findings(sorted(vocabulary.words)[::7])
     x = np.array([features(*f[:4], vocabulary) for f in findings])
     forest = RandomForest().fit(x, np.array([f[4] for f in findings], float))

@@ -296,6 +296,17 @@ def test_secrets(spark, empty):
     assert scan_secrets(empty).count() == 0
 
 
+def test_secret_vocabulary_covers_all_texts(spark):
+    from tessera.llm.secret_scan import corpus_vocabulary
+
+    texts = [f"common words {'filler ' * 4000} ending" for _ in range(10)] + [f"text number {i}" for i in range(700)] + ["seldom", "Seldom é_x a1b"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    whole, exact = corpus_vocabulary(docs, 20_000), Vocabulary(texts)
+    assert whole.words == exact.words == {"common", "words", "filler", "ending", "text", "number", "seldom"}
+    assert np.allclose(whole.surprise, exact.surprise)
+    assert corpus_vocabulary(docs, 3).words == {"filler", "text", "number"}
+
+
 def test_secret_candidates_have_no_gaps(spark):
     from tessera.llm.secret_scan import candidates
 
