@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,15 +37,30 @@ def pfair_slots(tickets: dict[str, int]) -> dict[str, list[int]]:
     return slots
 
 
+def exact_tickets(weights: dict[str, int | float | Fraction], max_slots: int) -> dict[str, int]:
+    """The smallest whole numbers in the exact ratio of the weights (floats count as the decimals they print as)."""
+    exact = {k: Fraction(str(w)) for k, w in weights.items()}
+    if bad := sorted(k for k, w in exact.items() if w <= 0):
+        raise ValueError(f"target weights must be positive: {bad[:5]}")
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    tickets = {k: int(w * scale) for k, w in exact.items()}
+    common = math.gcd(*tickets.values()) or 1
+    tickets = {k: a // common for k, a in tickets.items()}
+    if sum(tickets.values()) > max_slots:
+        raise ValueError(f"the target weights have no common period of at most {max_slots} slots; give simpler fractions")
+    return tickets
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
     source_col: str = "source",
-    weights: dict[str, float] | None = None,
+    weights: dict[str | None, int | float | Fraction] | None = None,
     resolution: int = 64,
     block_docs: int = 4,
     bucket_rows: int = 20_000,
     max_sources: int = 100_000,
+    max_slots: int = 1_000_000,
 ) -> DataFrame:
     """Every input row as ``row`` (a struct) with its place in the mixture.
 
@@ -55,11 +71,18 @@ def mix_sources(
     A source that runs out leaves its later slots empty; no row is dropped or
     repeated.
 
-    weights: target weight by source name (None for the null source); by
-    default weights go with the square root of a source's rows. A weight is
-    met to within one part in ``resolution`` of the largest. Unless weights
-    are given for every source, ValueError is raised, as it is beyond
-    ``max_sources`` sources, since the period is laid out on the driver.
+    weights: target weight by source name (None for the null source), as
+    numbers or Fractions; they are met exactly: after any number of slots each
+    source is less than one block off its share. ValueError is raised unless
+    every source has a positive weight and the period, the sum of the weights
+    as smallest whole numbers, is at most ``max_slots``.
+
+    By default weights go with the square root of a source's rows, rounded
+    down to one part in ``resolution`` of the largest, at least one part; here
+    the bound of one block holds for the rounded weights.
+
+    ValueError is raised beyond ``max_sources`` sources, since the period is
+    laid out on the driver.
 
     The rank inside a source needs no window over a whole source: rows fall
     into md5-prefix buckets of about ``bucket_rows``, ranks are taken per
@@ -72,13 +95,13 @@ def mix_sources(
         raise ValueError(f"more than {max_sources} sources")
     if weights is None:
         share = {k: math.sqrt(n) for k, n in counts.items()}
+        top = max(share.values(), default=1.0)
+        tickets = {k: max(1, math.floor(resolution * w / top)) for k, w in share.items()}
     else:
         given = {"n" if k is None else "s" + k: w for k, w in weights.items()}
         if missing := sorted(set(counts) - set(given)):
             raise ValueError(f"no target weight for sources {missing[:5]}")
-        share = {k: given[k] for k in counts}
-    top = max(share.values(), default=1.0)
-    tickets = {k: max(1, math.floor(resolution * w / top)) for k, w in share.items()}
+        tickets = exact_tickets({k: given[k] for k in counts}, max_slots)
     period = sum(tickets.values())
     spark = docs.sparkSession
     plan = spark.createDataFrame(

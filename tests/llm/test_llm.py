@@ -119,6 +119,22 @@ def test_mix_sources(docs, empty):
     assert mix_sources(docs, weights={"a": 2.0, "b": 1.0, None: 1.0}).count() == len(corpus())
 
 
+def test_mix_sources_meets_the_given_weights(docs):
+    from fractions import Fraction
+
+    given = {"a": 0.997, "b": 0.001, None: Fraction(2, 1000)}
+    got = mix_sources(docs, weights=given, block_docs=1).collect()
+    exact = {"n" if k is None else "s" + k: Fraction(str(w)) for k, w in given.items()}
+    for r in got:
+        w = exact[r.source_key]
+        assert (r.release, r.deadline) == (r.block // w, math.ceil((r.block + 1) / w)) and r.release <= r.slot < r.deadline
+        for t in (r.slot, r.slot + 1):  # blocks before slot t, at the points where the deviation is largest
+            assert abs(r.block + t - r.slot - w * t) < 1
+    for bad in ({"a": 1.0, "b": 0.0, None: 1.0}, {"a": 1.0, "b": 1e-9, None: 1.0}):
+        with pytest.raises(ValueError):
+            mix_sources(docs, weights=bad)
+
+
 def test_jaccard(spark, docs, empty):
     sets = {}
     for i, t, *_ in corpus():
