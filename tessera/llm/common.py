@@ -38,9 +38,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tasks_for(spark: SparkSession) -> int:
-    """Partitions for a keyed exchange whose rows are packed arrays."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote and that no later plan reads."""
+    spark, jvm = df.sparkSession, df.sparkSession._jvm
+    for file in df.inputFiles()[:1]:
+        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tasks_for(spark: SparkSession, docs: DataFrame | None = None, task_bytes: int = 16 << 20) -> int:
+    """Partitions for a keyed exchange whose rows are packed arrays.
+
+    Where the input's size is known to the planner, each stands for at most
+    ``task_bytes`` of it, so what one task holds doesn't grow with the input.
+    """
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    if docs is None:
+        return least
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    unknown = size > 1 << 55  # tables that are no files have no known size
+    return least if unknown else max(least, -(-size // task_bytes))
 
 
 def packed_row(docs: DataFrame) -> Column:

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, tasks_for
-from .components import components
-from .counting import PACKED, Tally, pack_counts, split_slices, unpack_counts
+from .common import discard, materialise, tasks_for
+from .components import components, local_components
+from .counting import split_slices
+from .voronoi import JaccardSpace, has_partner, settle
 from .vectors import U64, chunks, long_column, mix, shingle_sets, text_bytes
 
-#: Bits of the fixed-size marks that are broadcast (16 MB).
-MARK_BITS = 27
 #: Prefixes hold small hashes, so their slices come from another hash.
 _SPREAD = U64(0xE7037ED1A0B428DB)
 
@@ -25,493 +26,470 @@ def _node(shingles: np.ndarray) -> np.uint64:
     return mix(shingles.sum(dtype=U64, keepdims=True) + mix(shingles ^ U64(len(shingles))).sum(dtype=U64, keepdims=True))[0]
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int):
-    for batch in chunks(batches):
-        yield batch, shingle_sets(*text_bytes(batch.column("text")), k)
+def _arrow(rows, names, types) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * len(names), types)], names)
 
 
-def _new_sets(batches: Iterator[pa.RecordBatch], k: int):
-    """Node and set of each document whose set is the first of its kind in this task."""
-    seen: set[int] = set()
-    for _, sets in _sets(batches, k):
-        for s in sets:
-            if len(s):
-                node = _node(s)
-                if int(node) not in seen:
-                    if len(seen) > 1_000_000:  # bounds memory; a repeat is harmless
-                        seen.clear()
-                    seen.add(int(node))
-                    yield node, s
+# Texts: described, and each task's distinct sets packed to chunks of texts.
 
 
-def _describe(k: int):
+def _describe(k: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _sets(batches, k):
+        seen, texts, nodes, held, schema = set(), [], [], 0, None
+
+        def pack():
+            sink = pa.BufferOutputStream()
+            table = pa.table({"text": pa.chunked_array(texts).combine_chunks()})
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table)
+            row = (None, None, None, None, uuid.uuid4().int >> 65, np.array(nodes, U64).tobytes(), sink.getvalue().to_pybytes())
+            return _arrow([row], schema.names, schema.types)
+
+        for batch in chunks(batches):
+            sets = shingle_sets(*text_bytes(batch.column("text")), k)
             node = np.array([_node(s) if len(s) else 0 for s in sets], U64)
             size = np.array([len(s) for s in sets])
-            yield pa.record_batch([batch.column("doc_id"), long_column(size), long_column(node)], ["doc_id", "n_shingles", "node"])
+            empty = [pa.nulls(len(sets), t) for t in (pa.int64(), pa.binary(), pa.binary())]
+            out = pa.record_batch(
+                [batch.column("doc_id"), batch.column("print"), long_column(size), long_column(node), *empty],
+                ["doc_id", "print", "n_shingles", "node", "chunk", "nodes", "texts"],
+            )
+            schema = out.schema
+            yield out
+            new = []
+            for i, x in enumerate(node.tolist()):
+                if size[i] and x not in seen:
+                    new.append(i)
+                    seen.add(x)
+            if len(seen) > 200_000:  # bounds memory; a repeat is harmless
+                seen.clear()
+            if new:
+                some = batch.column("text").take(pa.array(new))
+                texts.append(some)
+                nodes += node[new].tolist()
+                held += some.nbytes
+            if held > most:
+                yield pack()
+                texts, nodes, held = [], [], 0
+        if texts:
+            yield pack()
 
     return run
 
 
-def _count_shingles(k: int, slices: int):
+def _text_sets(row: dict, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Nodes and sets of a chunk of texts."""
+    table = pa.ipc.open_stream(row["texts"]).read_all()
+    sets = [s for batch in chunks(iter(table.to_batches())) for s in shingle_sets(*text_bytes(batch.column("text")), k)]
+    return np.frombuffer(row["nodes"], U64), sets
+
+
+def _live_sets(row: dict) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Nodes and sets of a chunk of live sets."""
+    sizes = np.frombuffer(row["sizes"], np.uint32)
+    return np.frombuffer(row["nodes"], U64), np.split(np.frombuffer(row["sets"], U64), np.cumsum(sizes, dtype=np.int64)[:-1])
+
+
+# An exchange of frequencies: chunks ask the owners of hash slices, who answer each chunk.
+
+_ASKED = "slice int, chunk long, low binary, n binary"
+_ANSWERED = "chunk long, slice int, levels binary, node long"
+
+
+def _asked(sets: list[np.ndarray], half: bool):
+    """The shingles of a chunk in the order they are asked for, and where each of the sets' shingles is among them."""
+    h = np.concatenate(sets)
+    if half:
+        h = h[h < U64(1 << 63)]
+    return np.unique(h, return_inverse=True, return_counts=True)
+
+
+def _ask(read, half: bool, slices: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, pending, held = Tally(4_000_000), [], 0
-        for _, s in _new_sets(batches, k):
-            pending.append(s)
-            held += len(s)
-            if held > 500_000:
-                tally.add(np.concatenate(pending))
-                pending, held = [], 0
-                if tally.full():
-                    yield pack_counts(*tally.take(), slices)
-        if pending:
-            tally.add(np.concatenate(pending))
-        if tally.parts:
-            yield pack_counts(*tally.take(), slices)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                h, _, n = _asked(read(row)[1], half)
+                part, low = split_slices(h, slices)
+                n = np.minimum(n, 255).astype(np.uint8)
+                cut = np.searchsorted(part, np.arange(slices + 1))
+                rows = [(int(s), row["chunk"], low[cut[s] : cut[s + 1]].tobytes(), n[cut[s] : cut[s + 1]].tobytes()) for s in np.flatnonzero(np.diff(cut))]
+                yield _arrow(rows, ["slice", "chunk", "low", "n"], (pa.int32(), pa.int64(), pa.binary(), pa.binary()))
 
     return run
 
 
-def _mark(h: np.ndarray, slices: int) -> np.ndarray:
-    part, low = split_slices(h, slices)
-    return _mark_of(part, low)
+def _answer(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """For each shingle asked for, the number of bits of the number of sets that hold it: 1 where only one does."""
+    read = lambda c, t: np.frombuffer(b"".join(x.as_py() for x in rows.column(c)), t)
+    u, back = np.unique(read("low", np.uint32), return_inverse=True)
+    n = np.bincount(back, read("n", np.uint8), len(u))
+    levels = np.frexp(n)[1].astype(np.uint8)[back]
+    cut = np.cumsum([0, *(len(x.as_py()) // 4 for x in rows.column("low"))])
+    found = [levels[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+    return pa.table([rows.column("chunk"), rows.column("slice"), pa.array(found, pa.binary()), pa.nulls(len(found), pa.int64())], ["chunk", "slice", "levels", "node"])
 
 
-def _mark_of(part, low) -> np.ndarray:
-    return (mix((np.asarray(part).astype(U64) << U64(32)) + low.astype(U64)) >> U64(64 - MARK_BITS)).astype(np.int64)
+def _levels(right: pa.Table) -> np.ndarray:
+    right = right.filter(pc.is_valid(right.column("levels"))).sort_by("slice")
+    return np.frombuffer(b"".join(x.as_py() for x in right.column("levels")), np.uint8)
 
 
-def _hot_marks(least: int, most: int):
-    """Marks of the shingles that many sets hold; at most ``most`` a slice, the most frequent."""
+def _survivors(k: int, percent: int):
+    """The sets of a chunk that may link: their own shingles, held by no other set, are few enough.
 
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        low, n = unpack_counts(rows)
-        floor = least
-        while (n >= floor).sum() > most:
-            floor *= 2
-        marks = _mark_of(key[0].as_py(), low[n >= floor])
-        return pa.table({"marks": pa.array([marks.astype(np.uint32).tobytes()], pa.binary())})
+    Frequencies are known for half of all shingles here, which settles texts
+    that are wholly their own. Each node is returned by one chunk only.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for row in left.to_pylist():
+            nodes, sets = _text_sets(row, k)
+            _, back, _ = _asked(sets, True)
+            own = np.zeros(len(back), np.int64)
+            if len(back):
+                own = (_levels(right)[back] == 1).astype(np.int64)
+            mine = set(right.filter(pc.is_valid(right.column("node"))).column("node").to_numpy().view(U64).tolist())
+            at, keep = 0, []
+            for i, s in enumerate(sets):
+                m = int(np.searchsorted(s, U64(1 << 63)))
+                if int(nodes[i]) in mine and 100 * own[at : at + m].sum() <= (100 - percent) * len(s):
+                    keep.append(i)
+                at += m
+            if keep:
+                some = [sets[i] for i in keep]
+                out.append((row["chunk"], nodes[keep].tobytes(), np.array([len(s) for s in some], np.uint32).tobytes(), np.concatenate(some).tobytes()))
+        types = (pa.int64(), *[pa.binary()] * 3)
+        return pa.Table.from_batches([_arrow(out, ["chunk", "nodes", "sizes", "sets"], types)])
 
     return run
 
 
-def _bitmap(parts: DataFrame) -> bytes:
-    bits = np.zeros(1 << (MARK_BITS - 3), np.uint8)
-    for row in parts.toLocalIterator():
-        at = np.frombuffer(row[0], np.uint32)
-        np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-    return bits.tobytes()
+def _owner_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for chunk, nodes in zip(batch.column("chunk").to_pylist(), batch.column("nodes")):
+            node = np.frombuffer(nodes.as_py(), U64)
+            yield pa.record_batch([long_column(node), long_column(np.full(len(node), chunk))], ["node", "chunk"])
+
 
+# Prefixes: which sets may be near each other.
 
-def _test(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+_PREFIX = "slice int, low binary, at binary, nodes binary, sizes binary, owns binary"
 
 
-def _prefixes(k: int, percent: int, slices: int, hot):
-    """Each set's prefix in the order (not hot before hot, hash), packed by slice.
+def _prefixes(percent: int, slices: int):
+    """The first shingles of each set, rarest first, by slice; slice -1 lists the nodes.
 
     Sets of Jaccard percent / 100 or more share one of their first
-    n - ceil(percent * n / 100) + 1 shingles in any common order.
+    n - ceil(percent * n / 100) + 1 shingles in any order that all follow.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(hot.value, np.uint8)
-
-        def pack(items):
-            nodes = np.array([x[0] for x in items], U64)
-            sizes = np.array([x[1] for x in items], np.uint32)
-            colds = np.array([x[3] for x in items], np.uint32)
-            h = np.concatenate([x[2] for x in items])
-            frequent = np.concatenate([np.arange(len(x[2])) >= x[3] for x in items])
-            owner = np.repeat(np.arange(len(items)), [len(x[2]) for x in items])
-            part, low = split_slices(mix(h ^ _SPREAD), slices)
-            order = np.argsort(part, kind="stable")
-            low, owner, frequent = low[order], owner[order], frequent[order]
-            cut = np.searchsorted(part[order], np.arange(slices + 1))
-            rows = []
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        for row in left.to_pylist():
+            nodes, sets = _live_sets(row)
+            h, back, _ = _asked(sets, False)
+            level = _levels(right)[back]
+            n = np.array([len(s) for s in sets], np.int64)
+            owner = np.repeat(np.arange(len(sets)), n)
+            own = np.bincount(owner, level == 1, len(sets)).astype(np.int64)
+            live = 100 * own <= (100 - percent) * n
+            order = np.lexsort((level, owner))  # stable: hashes rise within a level
+            rank = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
+            take = n + percent * -n // 100 + 1
+            use = (rank < take[owner]) & (level[order] > 1) & live[owner]
+            order, owner = order[use], owner[use]
+            part, low = split_slices(mix(h[back[order]] ^ _SPREAD), slices)
+            by = np.argsort(part, kind="stable")
+            low, owner = low[by], owner[by]
+            cut = np.searchsorted(part[by], np.arange(slices + 1))
             for s in np.flatnonzero(np.diff(cut)):
                 a, b = cut[s], cut[s + 1]
                 used, at = np.unique(owner[a:b], return_inverse=True)
-                rows.append((int(s), low[a:b].tobytes(), (at * 2 + frequent[a:b]).astype(np.uint16).tobytes(), nodes[used].tobytes(), sizes[used].tobytes(), colds[used].tobytes()))
-            types = (pa.int32(), *[pa.binary()] * 5)
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["slice", "low", "at", "nodes", "sizes", "colds"])
-
-        items, held = [], 0
-        for node, s in _new_sets(batches, k):
-            n = len(s)
-            take = n - -(-percent * n // 100) + 1
-            flag = _test(bits, _mark(s, slices))
-            first = np.concatenate([s[flag == 0], s[flag == 1]])[:take]
-            items.append((node, n, first, int((flag == 0).sum())))
-            held += take
-            if held > 1_500_000 or len(items) >= 30_000:
-                yield pack(items)
-                items, held = [], 0
-        if items:
-            yield pack(items)
+                rows.append((int(s), low[a:b].tobytes(), at.astype(np.uint32).tobytes(), *(x[used].tobytes() for x in (nodes, n, own))))
+            rows.append((-1, b"", b"", *(x[live].tobytes() for x in (nodes, n, own))))
+        return pa.Table.from_batches([_arrow(rows, ["slice", "low", "at", "nodes", "sizes", "owns"], (pa.int32(), *[pa.binary()] * 5))])
 
     return run
 
 
-def _regions(percent: int, leaf: int):
-    """The neighbours of each prefix shingle: all pairs of a few, else a star.
+def _node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            columns = [np.frombuffer(row[c], np.int64) for c in ("nodes", "sizes", "owns")]
+            yield pa.record_batch([pa.array(c) for c in columns], ["node", "n", "own"])
 
-    Rows (a, b, na, nb, ca, cb, common, kind), where n is a set's size and c
-    the number of its infrequent shingles. Kind 0: a pair and the number of
-    prefix shingles it was found by; 1: member b of the region of pivot a; 2:
-    how many prefix shingles of a lie in large regions; 3: how many infrequent
-    ones of a, a set of mostly frequent shingles, are shared at all; 4: as 1,
-    in a region around an infrequent shingle, where kind 3 bounds nothing, as
-    members may hold infrequent shingles behind their prefixes.
-    """
+
+def _neighbours(percent: int, hot: int):
+    """Edges (a, b) whose components hold all pairs that may link by a shingle of this slice."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         parts = []
         for r in rows.to_pylist():
-            at = np.frombuffer(r["at"], np.uint16)
-            read = lambda c, t: np.frombuffer(r[c], t)[at >> 1]  # noqa: B023, E731
-            parts.append((np.frombuffer(r["low"], np.uint32), at & 1, read("nodes", U64), read("sizes", np.uint32), read("colds", np.uint32)))
-        low, frequent, node, size, cold = (np.concatenate(x) for x in zip(*parts))
-        # Only shingles met twice matter; nodes met in several tasks count once.
+            at = np.frombuffer(r["at"], np.uint32)
+            parts.append((np.frombuffer(r["low"], np.uint32), *(np.frombuffer(r[c], t)[at] for c, t in (("nodes", U64), ("sizes", np.int64), ("owns", np.int64)))))
+        low, node, n, own = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(low, kind="stable")
-        x = low[order]
-        twice = np.zeros(len(x), bool)
-        twice[1:] = x[1:] == x[:-1]
-        twice[:-1] |= twice[1:]
-        order = order[twice]
-        order = order[np.lexsort((node[order], low[order]))]
-        low, frequent, node = low[order], frequent[order], node[order]
-        size, cold = size[order].astype(np.int64), cold[order].astype(np.int64)
-        new = np.ones(len(low), bool)
-        new[1:] = (low[1:] != low[:-1]) | (node[1:] != node[:-1])
-        low, frequent, node, size, cold = low[new], frequent[new], node[new], size[new], cold[new]
-        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]])) if len(low) else np.zeros(0, np.int64)
+        low, node, n, own = low[order], node[order], n[order], own[order]
+        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
         length = np.diff(np.concatenate([first, [len(low)]]))
-        out, tally = [], lambda a, b, kind: out.append(_tally(node, size, cold, a, b, kind))
-        found = []
-        for m in range(2, leaf + 1):
-            at = first[length == m][:, None]
+        # x and y can link only if what each does not own reaches the overlap that their sizes need.
+        slack = (100 + percent) * (n - own) - percent * n
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for m in range(2, hot + 1):
+            at = first[length == m]
             for i in range(m):
                 for j in range(i + 1, m):
-                    a, b = (at + i)[:, 0], (at + j)[:, 0]
-                    near = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
-                    found.append(np.stack([a[near], b[near]]))
-        if found:
-            tally(*np.concatenate(found, axis=1), 0)
-        big = length > leaf
-        if big.any():
-            member = np.flatnonzero(np.repeat(big, length))
-            starts, lengths = first[big], length[big]
-            # The pivot is the set with the fewest infrequent shingles: the middle of a group of near copies.
-            run_of = np.repeat(np.arange(len(starts)), lengths)
-            order = np.lexsort((mix(node[member]), cold[member], run_of))
-            pivot = member[order[np.concatenate([[0], np.cumsum(lengths)[:-1]])]][run_of]
-            rare = np.minimum.reduceat(frequent[member], np.concatenate([[0], np.cumsum(lengths)[:-1]]))[run_of] == 0
-            for kind, some in ((1, ~rare), (4, rare)):
-                if some.any():
-                    tally(pivot[some], member[some], kind)
-            tally(member, member, 2)
-        take = size + percent * -size // 100 + 1
-        shared = np.repeat(length > 1, length) & (frequent == 0) & (cold < take)
-        at = np.flatnonzero(shared)
-        tally(at, at, 3)
-        return _pair_table(out)
+                    x, y = at + i, at + j
+                    near = (slack[x] >= percent * n[y]) & (slack[y] >= percent * n[x])
+                    a.append(x[near])
+                    b.append(y[near])
+        for start, m in zip(first[length > hot], length[length > hot]):
+            x = start + np.flatnonzero(has_partner(n[start : start + m], slack[start : start + m], percent))
+            if len(x):
+                a.append(np.full(len(x), x[0]))
+                b.append(x)
+        u, back = np.unique(node, return_inverse=True)
+        label = local_components(back[np.concatenate(a)], back[np.concatenate(b)], len(u))
+        moved = np.flatnonzero(label != np.arange(len(u)))
+        return pa.table([long_column(u[label[moved]]), long_column(u[moved])], ["a", "b"])
 
     return run
 
 
-def _tally(node, size, cold, a, b, kind):
-    """Equal pairs (the smaller node first, but for stars) added up."""
-    if kind == 0:
-        swap = node[a] > node[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-    order = np.lexsort((node[b], node[a]))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (node[a][1:] != node[a][:-1]) | (node[b][1:] != node[b][:-1])
-    first = np.flatnonzero(new)
-    n = np.diff(np.concatenate([first, [len(a)]]))
-    a, b = a[first], b[first]
-    return node[a], node[b], size[a], size[b], cold[a], cold[b], n, np.full(len(first), kind)
+# Clusters of candidates, settled in the metric space.
+
 
+def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            nodes, sets = _live_sets(row)
+            for i in range(0, len(sets), 1000):
+                yield pa.record_batch([long_column(nodes[i : i + 1000]), pa.array([s.tobytes() for s in sets[i : i + 1000]], pa.binary())], ["node", "set"])
 
-_NAMES = ["a", "b", "na", "nb", "ca", "cb", "common", "kind"]
-_PAIRS = ", ".join(f"{n} long" for n in _NAMES)
 
+def _settle(percent: int, leaf: int, pivots: int):
+    """Rows (region, node, known, owns, set) sorted by region become links (a, b) that span each component.
 
-def _pair_table(parts) -> pa.Table:
-    columns = [np.concatenate(c) for c in zip(*parts)] or [np.zeros(0, np.int64)] * len(_NAMES)
-    return pa.table({n: long_column(c) for n, c in zip(_NAMES, columns)})
+    ``known`` is a component found before; nodes of one need no comparison.
+    """
 
+    def close(held):
+        table = pa.Table.from_batches(held)
+        node = table.column("node").to_numpy().view(U64)
+        known = np.unique(table.column("known").to_numpy(), return_inverse=True)[1]
+        label = settle([np.frombuffer(x.as_buffer(), U64) for x in table.column("set")], known, table.column("owns").to_numpy(), percent, leaf, pivots)
+        first = np.full(len(node), len(node))
+        np.minimum.at(first, label, np.arange(len(node)))
+        return pa.record_batch([long_column(node[first[label]]), long_column(node)], ["a", "b"])
 
-def _wanted_marks(slices: int):
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        at = _mark(rows.column("node").to_numpy().view(U64), slices)
-        return pa.table({"marks": pa.array([np.unique(at).astype(np.uint32).tobytes()], pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, region = [], None
+        for batch in batches:
+            key = batch.column("region").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]]) if len(key) else []
+            for x, y in zip(cuts, cuts[1:]):
+                if held and key[x] != region:
+                    yield close(held)
+                    held = []
+                held.append(batch.slice(x, y - x))
+                region = key[x]
+        if held:
+            yield close(held)
 
     return run
 
 
-def _fetch(k: int, slices: int, wanted):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(wanted.value, np.uint8)
-        nodes, sets, held = [], [], 0
-
-        def rows():
-            return pa.record_batch([long_column(np.array(nodes, U64)), pa.array(sets, pa.binary())], ["node", "set"])
-
-        for node, s in _new_sets(batches, k):
-            if _test(bits, _mark(np.array([node], U64), slices))[0]:
-                nodes.append(node)
-                sets.append(s.tobytes())
-                held += s.nbytes
-            if held > 4 << 20:
-                yield rows()
-                nodes, sets, held = [], [], 0
-        if nodes:
-            yield rows()
+def _measure(percent: int):
+    """Distances of a share of a large region's members to all its pivots."""
+
+    def run(key: tuple[pa.Scalar, ...], members: pa.Table, pivots: pa.Table) -> pa.Table:
+        read = lambda t: [np.frombuffer(x.as_buffer(), U64) for c in t.column("set").chunks for x in c]
+        pivots = pivots.sort_by("pivot")
+        sets = read(members)
+        space = JaccardSpace(sets)
+        d = np.array([space.distances_from(p) for p in read(pivots)], np.float64).reshape(pivots.num_rows, -1).T
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * d.shape[1], pa.int32()), pa.array(d.ravel()))
+        names = pa.array([pivots.column("pivot").to_pylist()] * len(sets), pa.list_(pa.int64()))
+        return pa.table([*(members.column(c) for c in ("region", "node", "n", "own", "owns")), names, lists], ["region", "node", "n", "own", "owns", "pivots", "d"])
 
     return run
 
 
-def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Set sizes and intersection size of pairs of sets."""
-    for batch in batches:
-        left, right = batch.column("left"), batch.column("right")
-        common = np.empty(batch.num_rows, np.int64)
-        last, x = None, None
-        for i in range(batch.num_rows):
-            raw = left[i].as_buffer()
-            if last is None or not raw.equals(last):
-                last, x = raw, np.frombuffer(raw, U64)
-            y = np.frombuffer(right[i].as_buffer(), U64)
-            small, large = (x, y) if len(x) <= len(y) else (y, x)
-            at = np.searchsorted(large, small)
-            at[at == len(large)] = 0
-            common[i] = (large[at] == small).sum()
-        yield pa.record_batch([batch.column("a"), batch.column("b"), batch.column("na"), batch.column("nb"), long_column(common)], ["a", "b", "na", "nb", "common"])
-
-
-def _linked(percent: int) -> Column:
-    return 100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))
-
-
-def jaccard_components(
+def _merge(df: DataFrame, other: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join by exchange and sort: neither side is small by rule, so none is broadcast."""
+    return df.hint("merge").join(other, on, how)
+
+
+def _split(members: DataFrame, sets: DataFrame, percent: int, pivots: int, task_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Voronoi regions of large regions: the next members, and the links of the pivots' balls.
+
+    A region elects pivots, those that own the least of ``pivots`` random
+    parts. Nodes within r of a pivot link to it. Each node is dealt to its
+    nearest pivot, and as a guest to all whose distance is at most 2r larger:
+    by the triangle inequality every link then lies in the region of either
+    end. Regions where all nodes are of one component are done.
+    """
+    r, near = 1 - percent / 100, 1e-9
+    rank = F.struct(F.col("own") / F.col("n"), F.xxhash64("node", "region"), F.col("node"))
+    elected = members.groupBy("region", F.pmod(F.xxhash64("node"), F.lit(pivots)).alias("part")).agg(F.min(rank).alias("p"))
+    elected = elected.select("region", F.col("p.node").alias("pivot"))
+    shares = members.groupBy("region").agg(F.ceil(F.sum("n") * 8 / (task_bytes / 4)).cast("int").alias("shares"))
+    rows = _merge(_merge(members, shares, "region"), sets, "node").withColumn("share", F.pmod(F.hash("node"), F.col("shares")))
+    dealt = _merge(_merge(elected, shares, "region").withColumnRenamed("pivot", "node"), sets, "node")
+    dealt = dealt.select("region", F.col("node").alias("pivot"), "set", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    measured = materialise(
+        rows.groupBy("region", "share")
+        .cogroup(dealt.groupBy("region", "share"))
+        .applyInArrow(_measure(percent), "region long, node long, n long, own long, owns boolean, pivots array<long>, d array<double>"),
+        "jac-measured",
+    )
+    pairs = measured.select("node", F.explode(F.arrays_zip("pivots", "d")).alias("p"))
+    links = materialise(pairs.where((F.col("p.d") <= r + near) & (F.col("p.pivots") != F.col("node"))).select(F.col("p.pivots").alias("a"), F.col("node").alias("b")).distinct(), "jac-links")
+    known = components(links)
+    named = _merge(measured, known, "node", "left").withColumn("known", F.coalesce("label", F.col("node")))
+    least = F.array_min("d")
+    nearest = F.element_at("pivots", F.array_position("d", least).cast("int"))
+    placed = named.select("*", least.alias("least"), nearest.alias("nearest"), F.explode(F.arrays_zip("pivots", "d")).alias("p")).where(F.col("p.d") <= F.col("least") + 2 * r + near)
+    placed = placed.select(
+        F.xxhash64("region", "p.pivots").alias("region"), "node", "n", "own", (F.col("owns") & (F.col("nearest") == F.col("p.pivots"))).alias("owns"), "known"
+    )
+    open_ = placed.groupBy("region").agg(F.min("known").alias("x"), F.max("known").alias("y"), F.max("owns").alias("o")).where("x <> y and o").select("region")
+    return materialise(_merge(placed, open_, "region", "left_semi"), "jac-members"), links
+
+
+def jaccard_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     k: int = 5,
     percent: int = 75,
-    leaf: int = 16,
+    leaf: int = 32,
     hot: int = 16,
-    rounds: int = 4,
+    rounds: int = 3,
+    pivots: int = 16,
+    task_bytes: int = 48 << 20,
+    chunk_bytes: int = 8 << 20,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_size for every input row.
+    """doc_id, print, n_shingles, component_id, class_size, stays for every input row.
 
     Documents are sets of k-word shingles under the Jaccard distance d = 1 - J,
     a metric; two link when J >= percent / 100, so r = 1 - percent / 100.
 
-    1. Documents with equal sets become one node.
-    2. Two linked sets share a shingle among the first (1 - J) n + 1 of a
-       common order (frequent shingles last), so each such shingle spans a
-       region that holds both. At distance 1 random pivots say nothing, which
-       is why pivots are elected inside these regions.
-    3. A region of more than ``leaf`` nodes elects a pivot and measures every
-       member's distance to it. Members within r link to it, and all links
-       inside its ball are then settled, since a component is all that is
-       asked. The others form Voronoi rings of width r around the pivot; each
-       ring takes in the nodes up to r below it (the triangle-inequality
-       window), and rings elect pivots in turn until all is settled. After
-       ``rounds`` the rest is compared pair by pair.
-    4. Small regions are compared pair by pair, after the overlap bound that
-       the number of shared prefix shingles gives.
-
-    Every pair that the bounds don't rule out is settled by the exact sizes of
-    sets and intersection, so no link is lost. Shingles are 64-bit hashes.
-
-    Null or empty text: n_shingles 0 and a component of its own. Rows that
-    repeat an id share one component. Null ids: component_id is the smallest
-    id reachable, or null where there is none. Empty tables give empty results.
+    1. Documents with equal sets become one node. Chunks of texts ask the
+       owners of hash slices which shingles others hold too; a set that owns
+       more than r of its shingles links with nothing, so most texts end here.
+    2. For the others frequencies are exact. Two linked sets share one of
+       their first r n + 1 shingles, rarest first; nodes that do, and whose
+       shared parts are large enough, form clusters of candidates. At distance
+       1, where nearly all pairs are, pivots say nothing: this bounds the
+       space in which they are elected. Shingles with more than ``hot``
+       holders join their holders by a star instead of by pairs.
+    3. A cluster elects pivots far from each other; every node goes to the
+       region of its nearest pivot, and as a guest to those up to 2r further
+       (the triangle-inequality window). Nodes within r of a pivot are one
+       component, and regions of one component are done; the others are split
+       again, until at most ``leaf`` nodes lie outside the largest component.
+       These are compared with the whole region.
+    4. Clusters with more than ``task_bytes`` of sets are split in the same way
+       by the cluster, each share of a region in a task of its own, until
+       regions fit a task. What does not get smaller in ``rounds`` is compared
+       by pairs of blocks, each pair of blocks in one task.
+
+    No link is lost: bounds only rule out pairs that can't link, and sizes of
+    sets and intersections are exact. Shingles are 64-bit hashes.
+
+    ``print`` is xxhash64(text), ``stays`` is true for the rows of the smallest
+    (id, print) of a component. Null or empty text: n_shingles 0 and a
+    component of its own. Rows that repeat an id are documents of their own,
+    each with the component of its own text; so one id may have several.
+    Null ids: component_id is the smallest id reachable, or null where there is
+    none. A text is worked on as a whole by one task, which takes about 30
+    times its bytes. Empty tables give empty results.
     """
     spark = docs.sparkSession
-    slices = tasks_for(spark)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = base.select("text")
+    slices = tasks_for(spark, docs)
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("print", F.xxhash64("text"))
     id_type = base.schema["doc_id"].dataType.simpleString()
-    described = materialise(base.mapInArrow(_describe(k), f"doc_id {id_type}, n_shingles long, node long"), "jac-docs")
-
-    hot_bits = spark.sparkContext.broadcast(
-        _bitmap(
-            texts.mapInArrow(_count_shingles(k, slices), PACKED)
-            .groupBy("slice")
-            .applyInArrow(_hot_marks(hot, max(1, (1 << 22) // slices)), "marks binary")
-        )
+    first = materialise(
+        base.mapInArrow(_describe(k, chunk_bytes), f"doc_id {id_type}, print long, n_shingles long, node long, chunk long, nodes binary, texts binary"), "jac-texts"
     )
-    found = materialise(
-        texts.mapInArrow(_prefixes(k, percent, slices, hot_bits), "slice int, low binary, at binary, nodes binary, sizes binary, colds binary")
-        .groupBy("slice")
-        .applyInArrow(_regions(percent, leaf), _PAIRS)
-        .groupBy("kind", "a", "b")
-        .agg(*[F.first(c).alias(c) for c in ("na", "nb", "ca", "cb")], F.sum("common").alias("common")),
-        "jac-found",
-    )
-    # Shared prefix shingles in large regions were not counted by pair.
-    large = found.where("kind = 2").select("a", F.col("common").alias("more"))
-    need = lambda n: F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent) - 1e-9) - F.ceil(F.col(n) * percent / 100 - 1e-9) + 1
-    few = (
-        found.where("kind = 0")
-        .join(large, "a", "left")
-        .join(large.select(F.col("a").alias("b"), F.col("more").alias("more_b")), "b", "left")
-        .where(
-            F.col("common") + F.least(F.coalesce("more", F.lit(0)), F.coalesce("more_b", F.lit(0)))
-            >= F.least(need("na"), need("nb"))
-        )
-        .select("a", "b", "na", "nb")
-    )
-    star = found.where("kind in (1, 4)").select("kind", "a", "b", "na", "nb", "ca", "cb")
-    pairs = materialise(_ordered(few.union(star.where("a <> b").select("a", "b", "na", "nb"))), "jac-pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted_bits = spark.sparkContext.broadcast(
-        _bitmap(wanted.groupBy(F.pmod(F.hash("node"), F.lit(slices))).applyInArrow(_wanted_marks(slices), "marks binary"))
+    described = first.where("chunk is null").select("doc_id", "print", "n_shingles", "node")
+    texts = first.where("chunk is not null").select("chunk", "nodes", "texts")
+
+    def exchange(chunked: DataFrame, read, half: bool) -> DataFrame:
+        return chunked.mapInArrow(_ask(read, half, slices), _ASKED).groupBy("slice").applyInArrow(_answer, _ANSWERED)
+
+    owners = texts.select("chunk", "nodes").mapInArrow(_owner_rows, "node long, chunk long").groupBy("node").agg(F.min("chunk").alias("chunk"))
+    told = exchange(texts, lambda row: _text_sets(row, k), True).union(owners.select("chunk", F.lit(-1), F.lit(None).cast("binary"), "node"))
+    live = materialise(
+        texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_survivors(k, percent), "chunk long, nodes binary, sizes binary, sets binary"), "jac-live"
     )
-    sets = materialise(
-        texts.mapInArrow(_fetch(k, slices, wanted_bits), "node long, set binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]),
-        "jac-sets",
+    prefixes = materialise(
+        live.groupBy("chunk").cogroup(exchange(live, _live_sets, False).groupBy("chunk")).applyInArrow(_prefixes(percent, slices), _PREFIX), "jac-prefixes"
     )
+    edges = prefixes.where("slice >= 0").groupBy("slice").applyInArrow(_neighbours(percent, hot), "a long, b long")
+    clusters = components(edges)
 
-    def measure(some: DataFrame, name: str) -> DataFrame:
-        left = sets.select(F.col("node").alias("a"), F.col("set").alias("left"))
-        right = sets.select(F.col("node").alias("b"), F.col("set").alias("right"))
-        return materialise(
-            some.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "left", "right").mapInArrow(
-                _distances, "a long, b long, na long, nb long, common long"
-            ),
-            name,
-        )
-
-    measured = measure(pairs, "jac-measured")
-    links = measured.where(_linked(percent)).select("a", "b")
-    labels = components(links)
-    shared = found.where("kind = 3").select(F.col("a").alias("node"), F.col("common").alias("shared"))
-    members = (
-        star.select("kind", F.xxhash64("a", "kind").alias("region"), F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("nb").alias("n"), F.col("cb").alias("cold"), F.col("ca").alias("pivot_cold"))
-        .join(shared, "node", "left")
-        .withColumn("shared", F.when(F.col("kind") == 4, F.col("cold")).otherwise(F.coalesce("shared", F.lit(0))))
-        .drop("kind")
+    nodes = prefixes.where("slice < 0").select("nodes", "sizes", "owns").mapInArrow(_node_rows, "node long, n long, own long")
+    sets = live.mapInArrow(_set_rows, "node long, set binary")
+    members = materialise(
+        _merge(clusters.withColumnRenamed("label", "region"), nodes, "node").select("region", "node", "n", "own", F.lit(True).alias("owns"), F.col("node").alias("known")), "jac-members"
     )
+    links = None
+
+    def solve(some: DataFrame) -> DataFrame:
+        rows = _merge(some.select("region", "node", "known", "owns"), sets, "node")
+        return rows.repartition(slices, "region").sortWithinPartitions("region").mapInArrow(_settle(percent, leaf, pivots), "a long, b long")
+
+    def add(some: DataFrame) -> None:
+        nonlocal links
+        links = some if links is None else links.union(some)
+
     for i in range(rounds + 1):
-        members = _next_members(members, measured, labels, percent)
-        if members.isEmpty():
+        totals = members.groupBy("region").agg(F.sum("n").alias("total"))
+        large = materialise(totals.where(F.col("total") * 8 > task_bytes), "jac-large")
+        if large.isEmpty():
+            add(solve(members))
             break
-        some = _next_pairs(members, 1 << 62 if i == rounds else leaf, percent)
-        some = materialise(some.join(measured.select("a", "b"), ["a", "b"], "left_anti"), "jac-pairs")
-        measured = measured.union(measure(some, "jac-measured"))
-        links = measured.where(_linked(percent)).select("a", "b")
-        labels = components(links)
+        add(materialise(solve(_merge(members, large, "region", "left_anti")), "jac-links"))
+        members = _merge(members, large, "region")
         if i < rounds:
-            members = _elect(members, leaf)
+            members, balls = _split(members.drop("total"), sets, percent, pivots, task_bytes)
+            add(balls)
+        else:
+            add(solve(_block_pairs(members, task_bytes)))
+    # Where every cluster fits a task, its links are its component: all to one node.
+    labels = components(links) if i else materialise(links.select(F.col("b").alias("node"), F.col("a").alias("label")), "jac-labels")
 
     # Node labels become the smallest document of the component.
-    label = F.coalesce("label", F.col("node"))
-    known = described.join(labels, "node", "left").withColumn("label", F.when(F.col("n_shingles") > 0, label))
-    named = materialise(
-        known.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("class_size")), "jac-names"
-    )
-    # A component of many rows is joined by node, so its rows spread out.
-    by_node = (
-        known.where("label is not null").select("node", "label").distinct().join(named, "label").select("node", "least", "class_size")
-    )
-    return described.join(by_node, "node", "left").select(
+    filled = described.where("n_shingles > 0")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "print")
+    by_node = _merge(filled.groupBy("node").agg(F.min(row).alias("least"), F.count(F.lit(1)).alias("m")), labels, "node", "left")
+    by_node = materialise(by_node.withColumn("label", F.coalesce("label", F.col("node"))), "jac-nodes")
+    named = by_node.groupBy("label").agg(F.min("least").alias("least"), F.sum("m").alias("class_size"))
+    known = _merge(by_node.select("node", "label"), named, "label").select("node", "least", "class_size")
+    alone = F.col("n_shingles") == 0
+    result = _merge(described, known, "node", "left").select(
         "doc_id",
+        "print",
         "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("n_shingles") > 0, F.col("class_size")).otherwise(F.lit(1)).cast("long").alias("class_size"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"),
+        F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"),
+        (alone | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("print") == F.col("least.print")))).alias("stays"),
     )
+    return result
 
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", F.col("node")))
-
+def _block_pairs(members: DataFrame, task_bytes: int) -> DataFrame:
+    """Regions that pivots don't split: blocks of nodes, and a region for each pair of blocks."""
+    blocks = F.ceil(F.col("total") * 8 / (task_bytes / 2)).cast("int")
+    mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("mine", mine).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return dealt.select(F.xxhash64("region", F.least("mine", "other"), F.greatest("mine", "other")).alias("region"), "node", "n", "own", "owns", "known")
 
-def _next_members(members: DataFrame, measured: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Split each region into rings around its pivot; keep those with work left.
 
-    A member x shares with any other set at most what it shares with the
-    pivot and what it has besides that others have too: infrequent prefix
-    shingles (met twice, where a frequent shingle spans the region: members
-    then have all their infrequent ones in their prefixes), infrequent ones
-    behind the prefix, and frequent ones outside the pivot. That bounds the size of a set that x can link to, and
-    x leaves a region whose sets are all larger.
-    """
-    r = 1 - percent / 100
-    d = 1 - F.col("common") / (F.col("ma") + F.col("mb") - F.col("common"))
-    both = measured.select("a", "b", F.col("na").alias("ma"), F.col("nb").alias("mb"), "common")
-    both = both.union(both.select("b", "a", "mb", "ma", "common"))
-    near = _labelled(members.where("node <> pivot"), labels).join(
-        both.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "common", d.alias("d")), ["pivot", "node"]
-    )
-    take = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1
-    behind = F.greatest(F.col("cold") - take, F.lit(0))
-    within = F.when(F.col("cold") < take, F.col("shared")).otherwise(F.least("cold", take))
-    outside = F.greatest(F.col("n") - F.col("cold") - F.col("common") + F.least("cold", "pivot_cold"), F.lit(0))
-    most = (F.col("common") + within + behind + outside) * ((100 + percent) / percent) - F.col("n") + 1e-6
-    # Members in the pivot's ball are settled among themselves; a region is
-    # done unless nodes of other components stay outside the ball.
-    ring = F.floor(F.col("d") / r)
-    upper = F.floor((F.col("d") + r + 1e-9) / r)
-    kept = ["node", "n", "cold", "shared", "label", "most"]
-    rings = (
-        near.withColumn("most", most)
-        .select("region", *kept, F.explode(F.array_distinct(F.array(ring, upper))).alias("ring"))
-        .select(F.xxhash64("region", "ring").alias("region"), *kept)
-        .groupBy("region", *kept[:-1])
-        .agg(F.min("most").alias("most"))
-    )
-    least = rings.groupBy("region").agg(F.min("n").alias("least"))
-    rings = rings.join(least, "region").where("most >= least").drop("least")
-    live = rings.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("region")
-    return materialise(rings.join(live, "region", "left_semi"), "jac-members")
-
-
-def _rank() -> Column:
-    """Pivots are the sets with the fewest infrequent shingles."""
-    return F.struct("cold", F.xxhash64("label", "region"), F.xxhash64("node", "region"))
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """Each pair once, the smaller node first."""
-    swap = F.col("a") > F.col("b")
-    pick = lambda x, y: F.when(swap, F.col(x)).otherwise(F.col(y))
-    return pairs.select(
-        pick("b", "a").alias("a"), pick("a", "b").alias("b"), pick("nb", "na").alias("na"), pick("na", "nb").alias("nb")
-    ).distinct()
-
-
-def _elect(members: DataFrame, leaf: int) -> DataFrame:
-    best = members.groupBy("region").agg(F.min_by(F.struct("node", "cold"), _rank()).alias("p"), F.count(F.lit(1)).alias("m"))
-    return members.join(best.where(F.col("m") > leaf), "region").select(
-        "region", F.col("p.node").alias("pivot"), "node", "n", "cold", F.col("p.cold").alias("pivot_cold"), "shared"
-    )
-
-
-def _next_pairs(members: DataFrame, leaf: int, percent: int) -> DataFrame:
-    """Pairs still to be measured: all of a small region, else pivot and member."""
-    sizes = members.groupBy("region").agg(
-        F.count(F.lit(1)).alias("m"), F.min_by(F.struct("node", "n"), _rank()).alias("p")
-    )
-    x = members.join(sizes, "region")
-    star = x.where((F.col("m") > leaf) & (F.col("node") != F.col("p.node"))).select(
-        F.col("p.node").alias("a"), F.col("node").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb")
-    )
-    small = x.where(F.col("m") <= leaf)
-    y = small.select("region", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("most").alias("mb"))
-    full = (
-        small.select("region", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("most").alias("ma"))
-        .join(y, "region")
-        .where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")))
-        .where((F.col("nb") <= F.col("ma")) & (F.col("na") <= F.col("mb")))
-        .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        .select("a", "b", "na", "nb")
-    )
-    return _ordered(star.union(full))
+def jaccard_components(docs: DataFrame, *args, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_size: see ``jaccard_groups``, which takes the same arguments."""
+    return jaccard_groups(docs, *args, **options).select("doc_id", "n_shingles", "component_id", "class_size")
