@@ -339,6 +339,7 @@ def _split(members: DataFrame, sets: DataFrame, percent: int, pivots: int, task_
     rows = _merge(_merge(members, shares, "region"), sets, "node").withColumn("share", F.pmod(F.hash("node"), F.col("shares")))
     dealt = _merge(_merge(elected, shares, "region").withColumnRenamed("pivot", "node"), sets, "node")
     dealt = dealt.select("region", F.col("node").alias("pivot"), "set", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    rows, dealt = (df.select([F.col(c).alias(c) for c in df.columns]) for df in (rows, dealt))  # both come from one table: new names
     measured = materialise(
         rows.groupBy("region", "share")
         .cogroup(dealt.groupBy("region", "share"))
@@ -447,10 +448,12 @@ def jaccard_groups(
         nonlocal links
         links = some if links is None else links.union(some)
 
+    whole = False
     for i in range(rounds + 1):
         totals = members.groupBy("region").agg(F.sum("n").alias("total"))
         large = materialise(totals.where(F.col("total") * 8 > task_bytes), "jac-large")
         if large.isEmpty():
+            whole = i == 0
             add(solve(members))
             break
         add(materialise(solve(_merge(members, large, "region", "left_anti")), "jac-links"))
@@ -461,7 +464,7 @@ def jaccard_groups(
         else:
             add(solve(_block_pairs(members, task_bytes)))
     # Where every cluster fits a task, its links are its component: all to one node.
-    labels = components(links) if i else materialise(links.select(F.col("b").alias("node"), F.col("a").alias("label")), "jac-labels")
+    labels = components(links) if not whole else materialise(links.select(F.col("b").alias("node"), F.col("a").alias("label")), "jac-labels")
 
     # Node labels become the smallest document of the component.
     filled = described.where("n_shingles > 0")

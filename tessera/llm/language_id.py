@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import bounded_sample, packed_row
+from .common import packed_row
 from .vectors import _LOWER, chunks, text_bytes
 
 #: Bytes of a window, byte embedding size, filter widths and filters of each width.
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4, 5), 10
 STEP = WINDOW - max(WIDTHS) + 1
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
@@ -29,20 +30,29 @@ def fold(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All fixed-length windows of the texts (zero-padded) and their documents.
+def window_starts(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the windows of the texts begin, and their documents.
 
     Windows overlap by the widest filter less one, so they hold every n-gram.
     """
     size = np.diff(offsets)
     n = np.maximum(1, -(-(size - (WINDOW - STEP)) // STEP))
     doc = np.repeat(np.arange(len(size)), n)
-    start = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * STEP
-    at = (offsets[:-1][doc] + start)[:, None] + np.arange(WINDOW)
-    inside = (start[:, None] + np.arange(WINDOW)) < size[doc][:, None]
+    return offsets[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * STEP, doc
+
+
+def window_bytes(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Fixed-length windows, padded with zeros behind their text."""
+    at = start[:, None] + np.arange(WINDOW)
     if not len(data):
-        return np.zeros((len(doc), WINDOW), np.uint8), doc
-    return np.where(inside, data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8), doc
+        return np.zeros(at.shape, np.uint8)
+    return np.where(at < offsets[1:][doc][:, None], data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)
+
+
+def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of the texts and their documents."""
+    start, doc = window_starts(offsets)
+    return window_bytes(data, offsets, start, doc), doc
 
 
 class ByteNetwork:
@@ -77,6 +87,15 @@ class ByteNetwork:
             out.append(_softmax(h @ self.out + self.out_bias))
         return np.concatenate(out)
 
+    def means(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The mean probabilities of each text over all its windows."""
+        first, doc = window_starts(offsets)
+        total = np.zeros((len(offsets) - 1, len(self.out_bias)))
+        for a in range(0, len(doc), 4096):
+            p = self.probabilities(window_bytes(data, offsets, first[a : a + 4096], doc[a : a + 4096]))
+            np.add.at(total, doc[a : a + 4096], p)
+        return total / np.bincount(doc, minlength=len(total))[:, None]
+
     def train(self, x: np.ndarray, y: np.ndarray, epochs: int, batch: int = 32, rate: float = 0.004, seed: int = 6) -> None:
         """Adam on cross-entropy; the pooled positions alone carry gradients."""
         rng = np.random.default_rng(seed)
@@ -127,18 +146,40 @@ def held_out(doc_id: Column, fold_no: int = 2, folds: int = 4) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds)) == fold_no, F.lit(False))
 
 
-def train_network(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_texts: int, epochs: int):
-    """The network and its languages, from at most ``max_texts`` labelled texts outside the held-out fold."""
-    text, spot = F.col(text_col), lambda j: F.pmod(F.xxhash64(F.col(id_col), F.lit(j)), F.greatest(F.lit(1), F.length(text_col) - 200)) + 1
+def labelled_sample(rows: DataFrame, max_texts: int, max_languages: int) -> DataFrame:
+    """At most max_texts // languages rows of each ``lang``, those with the smallest ``key``.
+
+    Every language is in the sample whatever its share. Rows are thinned by a
+    bound on the key, by language, before they are ranked, so the tasks that
+    rank read a few times the sample however many rows there are.
+    """
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()}
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    each = max(1, max_texts // max(1, len(counts)))
+    bounds = [(k, -(1 << 63) + int(2**64 * 4 * each / n) if n > 4 * each else (1 << 63) - 1) for k, n in counts.items()]
+    bound = F.broadcast(rows.sparkSession.createDataFrame(bounds, "lang string, bound long"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(*rows.columns))
+    return rows.join(bound, "lang").where("key <= bound").drop("bound").withColumn("place", place).where(F.col("place") <= each).drop("place")
+
+
+def train_network(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_texts: int, epochs: int, max_languages: int = 1000):
+    """The network and its languages, from at most ``max_texts`` labelled texts outside the held-out fold.
+
+    Of each sampled text it sees two windows of ``WINDOW`` characters at places
+    that a hash of id and text picks.
+    """
+    text = F.col(text_col)
+    spot = lambda j: F.pmod(F.xxhash64(F.col(id_col), text, F.lit(j)), F.greatest(F.lit(1), F.length(text_col) - 200)) + 1
     labelled = (
         docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}"))
         .select(
-            F.xxhash64(F.lit(3), F.col(id_col)).alias("key"),
-            F.col(lang_col).alias("lang"),
+            F.xxhash64(F.lit(3), F.col(id_col), text).alias("key"),
+            F.col(lang_col).cast("string").alias("lang"),
             *[F.substr(text, spot(j).cast("int"), F.lit(WINDOW)).alias(f"w{j}") for j in range(2)],
         )
     )
-    sample = bounded_sample(labelled, "key", max_texts).toArrow()
+    sample = labelled_sample(labelled, max_texts, max_languages).toArrow().sort_by([(c, "ascending") for c in ("key", "lang", "w0", "w1")])
     langs = sorted(set(sample.column("lang").to_pylist()))
     if not langs:
         return None, []
@@ -164,10 +205,7 @@ def _predict(shared):
             letters = np.array([bool(t) and _LETTER.search(t) is not None for t in texts.to_pylist()])
             lang, score = [UNKNOWN] * len(letters), np.zeros(len(letters))
             if langs and letters.any():
-                x, doc = windows(fold(data), offsets)
-                p = network.probabilities(x)
-                first = np.searchsorted(doc, np.arange(len(letters)))
-                mean = np.add.reduceat(p.astype(np.float64), first, axis=0) / np.diff(np.append(first, len(doc)))[:, None]
+                mean = network.means(fold(data), offsets)
                 best = mean.argmax(axis=1)
                 for i in np.flatnonzero(letters):
                     lang[i] = langs[best[i]]
@@ -191,10 +229,12 @@ def identify_language(
     """row, doc_id, held_out, lang_pred and score for every input row.
 
     The network learns from at most ``max_texts`` rows of ``labelled`` (by
-    default ``docs``) with text and language, never from ids whose crc32 mod 4
-    is 2, and sees bytes alone. All windows of a text are scored; the language
-    has the highest mean probability, which is the score. A learned value or
-    ``und`` (score 0) where text is null or has no letter, or nothing could be
+    default ``docs``) with text and language, as many of each language, never
+    from ids whose crc32 mod 4 is 2, and sees bytes alone. All windows of a
+    text are scored, in slices of 64, so a text of any length takes little
+    besides its bytes; the language has the highest mean probability (ties:
+    the smaller name), which is the score. A learned value or ``und`` (score 0)
+    where text is null or has no letter (``\\p{L}``), or nothing could be
     learned. ``row`` is the whole input row if ``carry``, else null. Null ids
     are not held out; repeated rows get equal results; empty tables give
     empty results.

@@ -18,7 +18,7 @@ from .vectors import chunks
 
 #: Shapes of well-known credentials, case-insensitive for hex.
 PATTERNS = {
-    "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----",
+    "private_key": r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:[\w+/=:;,.()\s-]*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)?",
     "aws_access_key": r"\bA(?:KIA|SIA)[0-9A-Z]{16}\b",
     "github_token": r"\bgh[pousr]_[0-9A-Za-z]{30,}\b",
     "slack_token": r"\bxox[abprs]-[0-9A-Za-z-]{10,}",
@@ -35,7 +35,7 @@ _ASSIGN = re.compile(r"[:=]")
 _HINT = re.compile(r"[=:]|-----BEGIN|[\w/+=-]{16}")
 _NEAR = re.compile(r"(?i)token|secret|passw|pwd|api.?key|access.?key|auth|credential|bearer|private")
 _PLACEHOLDER = re.compile(r"(?i)example|sample|dummy|placeholder|changeme|your|xxxx|\*\*\*|<|\$\{|test|todo|none|null|localhost")
-_PATH = re.compile(r"[/\\].*[/\\]|\.(?:html?|png|jpe?g|js|css|py|java|md|txt|com|org)\b|^https?:")
+_PATH = re.compile(r"(?i)(?:[/\\][a-z_.-]{2,}\d?){2}|\.(?:html?|png|jpe?g|js|css|py|java|md|txt|com|org)\b|^https?:")
 _GROUPS = [string.ascii_lowercase, string.ascii_uppercase, string.digits, "-_", "/+=", "."]
 _CLASS = np.full(256, len(_GROUPS))
 for _i, _g in enumerate(_GROUPS):
@@ -44,8 +44,10 @@ for _i, _g in enumerate(_GROUPS):
 FEATURES = (
     "length", "entropy", "digit_share", "upper_share", "transition_share", "distinct_share", "longest_letters",
     "hex_share", "bigram_surprise", "dictionary_cover", "placeholder", "pathlike", "near_keyword", "after_equals",
-    "quoted", "known_shape", "repeat_share",
+    "quoted", "known_shape", "repeat_share", "neighbours", "body_length",
 )
+#: Words beside a candidate that are looked at, on each side.
+BESIDE = 4
 
 
 _WORD = re.compile(r"\b[^\W\d_]{3,}\b")
@@ -120,7 +122,33 @@ def corpus_vocabulary(texts: DataFrame, most: int) -> Vocabulary:
     return Vocabulary([]).set([r["word"] for r in top], pairs)
 
 
-def features(kind: str, value: str, before: str, after: str, vocabulary: Vocabulary) -> list[float]:
+def beside(before: str, after: str) -> list[str]:
+    """The neighbouring words of a candidate, the nearest on each side."""
+    return [w.lower() for w in [*re.findall(r"[^\W\d_]{2,}", before)[-BESIDE:], *re.findall(r"[^\W\d_]{2,}", after)[:BESIDE]]]
+
+
+class Neighbours:
+    """How much a word beside a candidate speaks for a secret: smoothed log odds of labelled findings."""
+
+    def __init__(self, findings: list[tuple[str, str, str, str, int]]):
+        seen: list[Counter[str]] = [Counter(), Counter()]
+        for _, _, before, after, label in findings:
+            seen[label].update(set(beside(before, after)))
+        total = [sum(1 for f in findings if f[4] == label) for label in (0, 1)]
+        odds = lambda w: math.log((seen[1][w] + 1) / (total[1] + 2)) - math.log((seen[0][w] + 1) / (total[0] + 2))
+        self.odds = {w: odds(w) for w in seen[0].keys() | seen[1].keys()}
+
+    def score(self, before: str, after: str) -> float:
+        return sum(self.odds.get(w, 0.0) for w in set(beside(before, after)))
+
+
+_ARMOUR = re.compile(r"-----[A-Z0-9 ]+-----", re.IGNORECASE)
+
+
+def features(kind: str, value: str, before: str, after: str, vocabulary: Vocabulary, neighbours: Neighbours) -> list[float]:
+    whole, value = value, _ARMOUR.sub("", value) if kind == "private_key" else value  # the key itself, not its frame
+    body = re.sub(r"\s", "", value) if kind == "private_key" else value
+    value = body or whole
     raw = np.frombuffer(value.encode("utf-8", "replace"), np.uint8)
     n = len(raw)
     counts = np.bincount(raw, minlength=256)
@@ -143,12 +171,14 @@ def features(kind: str, value: str, before: str, after: str, vocabulary: Vocabul
         float(surprise),
         covered / max(1, len(low)),
         float(bool(_PLACEHOLDER.search(value))),
-        float(bool(_PATH.search(value))),
+        float(bool(_PATH.search(value))) if kind in ("assignment", "opaque") else 0.0,
         float(bool(_NEAR.search(before))),
         float(bool(re.search(r"[:=]\s*[\"']?$", before))),
         float(before[-1:] in "\"'" and after[:1] in "\"'" and bool(before) and bool(after)),
         float(kind not in ("assignment", "opaque")),
         float((raw[1:] == raw[:-1]).mean()) if n > 1 else 0.0,
+        neighbours.score(before, after),
+        float(len(body)),
     ]
 
 
@@ -207,47 +237,74 @@ class RandomForest:
 
 
 def labelled_findings(words: list[str], n: int = 1500, seed: int = 4) -> list[tuple[str, str, str, str, int]]:
-    """Generated labelled findings (kind, value, before, after, label).
+    """Generated labelled findings (kind, value, before, after, label), ``n`` of each label.
 
-    Positives are random keys in the contexts in which keys leak; negatives are
-    what the patterns also catch: words, paths, identifiers, placeholders,
-    version strings and numbers. No real credential is involved.
+    Positives are random keys of every kind in the contexts in which keys leak;
+    negatives are what the patterns also catch: words, paths, identifiers,
+    placeholders, version strings, numbers, and the shape of every kind filled
+    with an example. No real credential is involved.
     """
     rng = np.random.default_rng(seed)
     pick = lambda s, m: "".join(s[i] for i in rng.integers(0, len(s), m))
     some = lambda a: a[int(rng.integers(0, len(a)))]
     hexes, alnum = "0123456789abcdef", string.ascii_letters + string.digits
+    capital = string.ascii_uppercase + string.digits
     names = ["token", "secret", "password", "api_key", "access_key", "auth"]
     words = words or ["lorem", "ipsum", "dolor", "amet"]
+    cloud = lambda x, m: "".join(x[i % len(x)] for i in range(m))
+    frame = lambda kind, body: f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----"
+    lines = lambda m: "\n".join(pick(alnum + "/+", 64) for _ in range(m))
+    # Known shapes: kind, a random value, and the same shape as documentation has it.
+    known = {
+        "aws_access_key": (lambda: "AKIA" + pick(capital, 16), lambda: "AKIA" + some([cloud("EXAMPLE", 16), "X" * 16, cloud("YOURKEYHERE", 16), cloud("0123456789", 16), pick(capital, 9) + "EXAMPLE"])),
+        "github_token": (lambda: "ghp_" + pick(alnum, 36), lambda: "ghp_" + some(["x" * 36, cloud("yourtokenhere", 36), cloud("exampletoken", 36), "0" * 36])),
+        "slack_token": (lambda: "xoxb-" + pick(string.digits, 11) + "-" + pick(alnum, 24), lambda: "xoxb-" + some(["your-token-here", "xxxxxxxxxxxx-xxxxxxxx", "example-token", "000000000000-000000"])),
+        "jwt": (
+            lambda: "eyJ" + pick(alnum, int(rng.integers(20, 60))) + "." + pick(alnum, int(rng.integers(30, 200))) + "." + pick(alnum + "-_", 43),
+            lambda: "eyJ" + some(["header.eyJpayload.signature", "xxxxxxxxxx.xxxxxxxxxx.xxxxxxxxxx", cloud("example", 12) + ".payloadpayload.signature"]),
+        ),
+        "private_key": (
+            lambda: frame(some(["", "RSA ", "EC ", "OPENSSH "]), lines(int(rng.integers(3, 28)))),
+            lambda: some([frame(some(["", "RSA "]), some(["...", "example", "your key here", "x" * 64])), f"-----BEGIN {some(['', 'RSA ', 'EC '])}PRIVATE KEY-----"]),
+        ),
+    }
+    plain = [
+        lambda: pick(hexes, int(some([32, 40, 64]))), lambda: pick(hexes.upper(), 40), lambda: pick(alnum, int(rng.integers(16, 64))), lambda: pick(alnum + "/+", 40),
+        lambda: pick(hexes, int(some([256, 512]))), lambda: pick(alnum + "/+", int(rng.integers(200, 800))), lambda: pick(alnum + "!#$%&*_-", int(rng.integers(12, 32))),
+    ]
     out = []
     for _ in range(n):
         q = some(['"', "'", ""])
         name = some(names) if rng.random() < 0.85 else some(words)
-        shape = int(rng.integers(0, 8))
-        value = [
-            pick(hexes, int(some([32, 40, 64]))), pick(hexes.upper(), 40), pick(alnum, int(rng.integers(16, 64))),
-            pick(alnum + "/+", 40), "AK" + "IA" + pick(string.ascii_uppercase + string.digits, 16), "gh" + "p_" + pick(alnum, 36),
-            pick(hexes, int(some([256, 512]))), pick(alnum + "/+", int(rng.integers(200, 800))),
-        ][shape]
-        kind = {4: "aws_access_key", 5: "github_token"}.get(shape, "assignment" if name in names else "opaque")
+        kind = "assignment" if name in names else "opaque"
+        if rng.random() < 0.4:
+            kind = some(list(known))
+            value = known[kind][0]()
+        else:
+            value = some(plain)()
         if rng.random() < 0.3:
             name = some(["client", "db", "aws_secret", "my-app", "access"]) + some(["_", "-"]) + name
         if rng.random() < 0.3:
             name = name.upper()
-        if rng.random() < 0.15:
+        if kind in ("assignment", "opaque") and rng.random() < 0.15:
             value += some(["!!", "###", "&&&", "%%%"])
-        out.append((kind, value, f"{some(words)} {name}{some([' = ', ': ', '='])}{q}", f"{q} {some(words)}", 1))
+        bare = kind in known and rng.random() < 0.5  # known shapes also leak without a name before them
+        out.append((kind, value, f"{some(words)} {some(words)} " if bare else f"{some(words)} {name}{some([' = ', ': ', '='])}{q}", f"{q} {some(words)}", 1))
         word = [some(words) for _ in range(4)]
         number = str(int(rng.integers(1, 10**6)))
         wrong = [
             "-".join(word), "_".join(word) + number, "/" + "/".join(word) + ".html", "your_" + name.lower() + "_here",
             "x" * int(rng.integers(8, 30)), "${" + word[0].upper() + "}", "example-" + word[0] + number, word[0] + word[1] + number,
             ".".join(word), "0" * int(rng.integers(8, 30)), word[0], "https://" + word[0] + ".com/" + word[1] + "/" + number,
-            "-".join(some(words) for _ in range(60)), "/" + "/".join(some(words) for _ in range(50)) + number, "=-"[shape % 2] * int(rng.integers(200, 800)),
+            "-".join(some(words) for _ in range(60)), "/" + "/".join(some(words) for _ in range(50)) + number, some("=-_") * int(rng.integers(20, 800)),
+            "/" + "/".join(some(words) + some(["", "-" + some(words), number[:1]]) for _ in range(int(rng.integers(3, 9)))) + number[:2],
+            "_".join(some(words) for _ in range(4)) + "-v" + ".".join(number[:3]), some(words).title() + some(words).title() + some(words).title() + "Service" + number,
         ]
-        value = some(wrong)
-        kind = some(["assignment", "opaque"])
-        before = f"{some(words)} {some(names)}{some([' = ', ': '])}{q}" if kind == "assignment" else some(words) + " "
+        kind, value = some(["assignment", "opaque"]), some(wrong)
+        if rng.random() < 0.3:
+            kind = some(list(known))
+            value = known[kind][1]()
+        before = f"{some(words)} {some(names)}{some([' = ', ': '])}{q}" if kind != "opaque" and rng.random() < 0.7 else some(words) + " "
         out.append((kind, value, before, f"{q} {some(words)}", 0))
     return out
 
@@ -274,14 +331,14 @@ def candidates(text: str) -> Iterator[tuple[int, int, str]]:
 
 def _scan(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, vocabulary = shared.value
+        forest, vocabulary, neighbours = shared.value
         for batch in chunks(batches):
             rows, x = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 for start, end, kind in candidates(text or ""):
                     value = text[start:end]
                     rows.append((i, start, end, kind, value))
-                    x.append(features(kind, value, text[max(0, start - 40) : start], text[end : end + 20], vocabulary))
+                    x.append(features(kind, value, text[max(0, start - 40) : start], text[end : end + 40], vocabulary, neighbours))
             if not rows:
                 continue
             p = forest.predict(np.array(x))
@@ -298,6 +355,17 @@ def _scan(shared, threshold: float):
     return run
 
 
+def train_forest(findings: list[tuple[str, str, str, str, int]], vocabulary: Vocabulary) -> tuple[RandomForest, Neighbours]:
+    """A forest on the findings; odds of words beside them come from the other half of the findings, not from their own."""
+    halves = [findings[::2], findings[1::2]] if len(findings) > 3 else [findings, findings]
+    x, y = [], []
+    for mine, other in zip(halves, halves[::-1]):
+        apart = Neighbours(other)
+        x += [features(*f[:4], vocabulary, apart) for f in mine]
+        y += [float(f[4]) for f in mine]
+    return RandomForest().fit(np.array(x), np.array(y)), Neighbours(findings)
+
+
 def scan_secrets(
     docs: DataFrame,
     findings: list[tuple[str, str, str, str, int]] | None = None,
@@ -310,9 +378,10 @@ def scan_secrets(
 
     Patterns find candidates of any length in whole texts; a random forest scores them on
     length, character classes and their transitions, letter-pair surprise,
-    dictionary cover, path-likeness, placeholders and the words beside them. It
-    is trained from labelled ``findings`` (kind, value, before, after, 0 or 1),
-    by default generated ones. Words and letter pairs are counted over all whole
+    dictionary cover, path-likeness, placeholders and the odds of the words
+    beside them. It is trained from labelled ``findings`` (kind, value, before,
+    after, 0 or 1), by default generated ones. A private key is one finding from
+    its first line to its last. Words and letter pairs are counted over all whole
     texts; the dictionary that is broadcast holds whole bands of the most
     frequent words, at most ``vocabulary_words``. Offsets count code points.
 
@@ -323,9 +392,8 @@ def scan_secrets(
     text = F.col(text_col)
     vocabulary = corpus_vocabulary(docs.where(text.isNotNull()).select(text.alias("text")), vocabulary_words)
     findings = findings or labelled_findings(sorted(vocabulary.words)[::7])
-    x = np.array([features(*f[:4], vocabulary) for f in findings])
-    forest = RandomForest().fit(x, np.array([f[4] for f in findings], float))
-    shared = spark.sparkContext.broadcast((forest, vocabulary))
+    forest, neighbours = train_forest(findings, vocabulary)
+    shared = spark.sparkContext.broadcast((forest, vocabulary, neighbours))
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     id_type = base.schema["doc_id"].dataType.simpleString()
     return base.mapInArrow(
