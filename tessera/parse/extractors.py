@@ -54,6 +54,18 @@ class Context:
     def diagnostic(self, reason: str, loc: dict | None = None, kind: str | None = None, message: str | None = None) -> None:
         self.rows.append({**_EMPTY, "rec": "diag", "file": self.file, "producer": self.producer, "kind": kind, "loc": loc, "reason": reason, "message": message})
 
+    def tokenize(self, text: str) -> list[str]:
+        """The class tokens of a text."""
+        return [t for t in re.split(r"[\s\ufeff]+", text) if t]
+
+    def resolve(self, node: tsx.Node, scope=None, hops: int = 1):
+        """The static value of an expression (see parse.resolve)."""
+        return resolve(node, scope if scope is not None else getattr(node, "scope", None), hops)
+
+    def parse_css(self, text: str) -> list[css.Declaration]:
+        """The declarations of a stylesheet's text; raises css.CssError."""
+        return css.parse(text)
+
     def element(self, node: tsx.Node) -> dict:
         """What identifies a JSX element: every row that hangs on it carries this."""
         source = None if node.dom else self.imports.get(node.base)
@@ -266,11 +278,18 @@ def producer(name: str) -> str:
     return f"tessera-{name}@{__version__}"
 
 
-def extract_file(file: str, code: str, options: Options = Options()) -> list[dict]:
+def chosen_extractors(options: Options) -> dict[str, tuple[str, Callable]]:
+    """The registered extractors that the options name, to be sent along to where files are parsed."""
+    if missing := [n for n in options.extractors if n not in REGISTRY]:
+        raise ValueError(f"no such extractors: {missing}")
+    return {n: REGISTRY[n] for n in options.extractors}
+
+
+def extract_file(file: str, code: str, options: Options = Options(), registry: dict[str, tuple[str, Callable]] | None = None) -> list[dict]:
     """All rows of one file; a file of another kind has none, and no error escapes."""
     low = file.lower()
     language = "sheet" if low.endswith(".css") else "program" if low.endswith((".tsx", ".ts")) else None
-    chosen = [(n, REGISTRY[n][1]) for n in options.extractors if REGISTRY[n][0] == language]
+    chosen = [(n, f) for n, (kind, f) in (registry or chosen_extractors(options)).items() if kind == language]
     if not chosen:
         return []
     code = code.removeprefix("\ufeff")
