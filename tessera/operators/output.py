@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import canonical_json
-from ..schema import LOC, SUBJECT_FIELDS
+from ..schema import FACT, LOC, SUBJECT_FIELDS
 from .assemble import sort_facts
 
 
@@ -47,6 +48,11 @@ def fact_json() -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
+def facts_from_json(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Facts of a column of JSON texts, such as a file of NDJSON read as text; fields that are left out are null."""
+    return lines.select(F.from_json(F.col(column), FACT).alias("fact")).select("fact.*")
+
+
 def ndjson(facts: DataFrame) -> DataFrame:
     """One canonical JSON text a fact, in total order."""
     return sort_facts(facts).select(fact_json().alias("value"))
@@ -58,10 +64,26 @@ def write_ndjson(facts: DataFrame, path: str, single: bool = False) -> None:
     (lines.coalesce(1) if single else lines).write.mode("overwrite").text(path)
 
 
+def object_text(header: dict, facts: DataFrame, pretty: bool = False) -> Iterator[str]:
+    """The object form in pieces, one fact held at a time: canonical JSON, or indented with the header first."""
+    lines = (r[0] for r in ndjson(facts).toLocalIterator())
+    if pretty:
+        made = json.dumps({"snapshot_header": header}, indent=2, ensure_ascii=False)
+        yield made[: -len("\n}")] + ',\n  "facts": ['
+        n = 0
+        for n, x in enumerate(lines, 1):
+            yield ("," if n > 1 else "") + "\n    " + json.dumps(json.loads(x), indent=2, ensure_ascii=False).replace("\n", "\n    ")
+        yield "\n  ]\n}" if n else "]\n}"
+        return
+    yield '{"facts":['
+    for n, x in enumerate(lines):
+        yield ("," if n else "") + x
+    yield '],"snapshot_header":' + json.dumps(header, sort_keys=True, separators=(",", ":"), ensure_ascii=False) + "}"
+
+
 def to_object(header: dict, facts: DataFrame, pretty: bool = False) -> str:
-    """The object form; facts are gathered on the driver, so it is for small results."""
-    rows = [json.loads(r[0]) for r in ndjson(facts).toLocalIterator()]
-    return json.dumps({"snapshot_header": header, "facts": rows}, indent=2 if pretty else None, ensure_ascii=False)
+    """The object form as one text, for results that fit the driver."""
+    return "".join(object_text(header, facts, pretty))
 
 
 def flat(facts: DataFrame) -> DataFrame:
@@ -94,10 +116,10 @@ def unresolved_rate(facts: DataFrame) -> DataFrame:
     return facts.agg(n.alias("facts"), u.alias("unresolved"), F.when(n == 0, 0.0).otherwise(u / n).alias("unresolved_rate"))
 
 
-def format_coverage(report: DataFrame) -> str:
-    """The summary as text; the counts are few."""
+def format_coverage(report: DataFrame | list) -> str:
+    """The summary as text, of a report or its rows; the counts are few."""
     found: dict[str, dict[str, int]] = {}
-    for r in report.collect():
+    for r in report.collect() if isinstance(report, DataFrame) else report:
         found.setdefault(r["section"], {})[r["key"]] = r["n"]
     total = found.get("total", {})
     n, u = total.get("facts", 0), total.get("unresolved", 0)
