@@ -193,15 +193,21 @@ def _parsed_function(t: Column) -> Column:
     return F.struct(part(t, r"^([a-z]+)\(").alias("name"), F.split(F.regexp_replace(inner, r"\s*[,/]\s*|\s+", " "), " ").alias("bits"))
 
 
+def _lookup(pairs) -> Column:
+    """A map from two literals, which the optimiser folds to one: plans stay small."""
+    keys, values = zip(*pairs)
+    return F.map_from_arrays(F.split(F.lit(" ".join(keys)), " "), F.split(F.lit(" ".join(values)), " "))
+
+
 def _evaluated(f: Column) -> Column:
     number = r"^(?:[+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?(?:%|deg|rad|grad|turn)?|none)$"
-    table = F.create_map(*[x for k, v in _FULL.items() for x in (F.lit(k), F.array(*[F.lit(float(n)) for n in v]))])
-    full = F.try_element_at(table, f["name"])
-    sound = full.isNotNull() & F.size(f["bits"]).isin(3, 4) & F.forall(f["bits"], lambda b: b.rlike(number))
+    table = _lookup([(k, ",".join(str(float(n)) for n in v)) for k, v in _FULL.items()])
+    full = F.split(F.try_element_at(table, f["name"]), ",").cast("array<double>")
+    sound = F.size(f["bits"]).isin(3, 4) & F.forall(f["bits"], lambda b: b.rlike(number))
     values = F.zip_with(f["bits"], F.slice(full, 1, F.size(f["bits"])), _component)
     # hsl and hwb also take bare numbers for percentages.
     plain = F.transform(values, lambda x, i: F.when(f["name"].rlike("^h") & i.isin(1, 2) & ~F.get(f["bits"], i).endswith("%"), x / 100).otherwise(x))
-    return F.when(sound, let(plain, lambda v: _function_color(f["name"], v)))
+    return F.when(sound, let(plain, lambda v: F.when(v.isNotNull(), _function_color(f["name"], v))))
 
 
 def _hex_color(h: Column) -> Column:
@@ -210,7 +216,8 @@ def _hex_color(h: Column) -> Column:
 
 
 def _color(t: Column) -> Column:
-    table = F.create_map(*[F.lit(w) for w in NAMED_COLORS.split()])
+    names = NAMED_COLORS.split()
+    table = _lookup(list(zip(names[::2], names[1::2])))
     return F.concat(
         F.lit("#"),
         F.when(has(t, "^#[0-9a-f]{3,8}$"), _hex_color(F.substring(t, 2, 8)))

@@ -8,41 +8,95 @@ from pyspark.sql import functions as F
 from .normalize import NUMBER
 from .text import JS_SPACE, col, has, js_trim, part
 
-_NESTED = r"\[(?:[^\[\]]|\[[^\[\]]*\])*\]"
-_SIDES = {"t": "top", "r": "right", "b": "bottom", "l": "left"}
+#: The properties that an arbitrary value sets, by the prefix of its token and the type of the value.
+ARBITRARY_PROPERTIES = {
+    "color": """
+bg background-color
+text color
+border border-color
+border-x border-left-color border-right-color
+border-y border-top-color border-bottom-color
+border-t border-top-color
+border-r border-right-color
+border-b border-bottom-color
+border-l border-left-color
+outline outline-color
+fill fill
+stroke stroke
+caret caret-color
+accent accent-color
+decoration text-decoration-color
+""",
+    "length": """
+text font-size
+border border-width
+border-x border-left-width border-right-width
+border-y border-top-width border-bottom-width
+border-t border-top-width
+border-r border-right-width
+border-b border-bottom-width
+border-l border-left-width
+outline outline-width
+stroke stroke-width
+decoration text-decoration-thickness
+w width
+h height
+min-w min-width
+max-w max-width
+min-h min-height
+max-h max-height
+size width height
+basis flex-basis
+gap gap
+gap-x column-gap
+gap-y row-gap
+p padding
+px padding-left padding-right
+py padding-top padding-bottom
+pt padding-top
+pr padding-right
+pb padding-bottom
+pl padding-left
+m margin
+mx margin-left margin-right
+my margin-top margin-bottom
+mt margin-top
+mr margin-right
+mb margin-bottom
+ml margin-left
+inset top right bottom left
+inset-x left right
+inset-y top bottom
+top top
+right right
+bottom bottom
+left left
+leading line-height
+tracking letter-spacing
+indent text-indent
+rounded border-radius
+""",
+    "number": """
+leading line-height
+z z-index
+opacity opacity
+""",
+}
 
 
 def property_rules() -> list[tuple[str, str, str]]:
-    """(prefix, type, property) of arbitrary values, from the naming rules."""
-    rows: list[tuple[str, str, str]] = []
-
-    def add(kind: str, prefix: str, *props: str) -> None:
-        rows.extend((prefix, kind, p) for p in props)
-
-    def box(prefix: str, kind: str, shape: str, dash: str = "-", whole: str | None = None) -> None:
-        side = lambda s: shape.format(_SIDES[s])
-        add(kind, prefix, whole or shape.format("").replace("--", "-").rstrip("-"))
-        add(kind, f"{prefix}{dash}x", side("l"), side("r"))
-        add(kind, f"{prefix}{dash}y", side("t"), side("b"))
-        for s in _SIDES:
-            add(kind, f"{prefix}{dash}{s}", side(s))
-
-    #: Prefixes and the properties they set.
-    for prefix, prop in (("bg", "background-color"), ("text", "color"), ("outline", "outline-color"), ("fill", "fill"), ("stroke", "stroke"), ("caret", "caret-color"), ("accent", "accent-color"), ("decoration", "text-decoration-color")):
-        add("color", prefix, prop)
-    box("border", "color", "border-{}-color")
-    box("border", "length", "border-{}-width")
-    box("p", "length", "padding-{}", "", "padding")
-    box("m", "length", "margin-{}", "", "margin")
-    for prefix, prop in (("text", "font-size"), ("outline", "outline-width"), ("stroke", "stroke-width"), ("decoration", "text-decoration-thickness"), ("w", "width"), ("h", "height"), ("min-w", "min-width"), ("max-w", "max-width"), ("min-h", "min-height"), ("max-h", "max-height"), ("basis", "flex-basis"), ("gap", "gap"), ("gap-x", "column-gap"), ("gap-y", "row-gap"), ("top", "top"), ("right", "right"), ("bottom", "bottom"), ("left", "left"), ("leading", "line-height"), ("tracking", "letter-spacing"), ("indent", "text-indent"), ("rounded", "border-radius")):
-        add("length", prefix, prop)
-    add("length", "size", "width", "height")
-    add("length", "inset", "top", "right", "bottom", "left")
-    add("length", "inset-x", "left", "right")
-    add("length", "inset-y", "top", "bottom")
-    for prefix, prop in (("leading", "line-height"), ("z", "z-index"), ("opacity", "opacity")):
-        add("number", prefix, prop)
-    return rows
+    """(prefix, type, property) of arbitrary values."""
+    lines = [(kind, *line.split()) for kind, text in ARBITRARY_PROPERTIES.items() for line in text.strip().splitlines()]
+    return [(prefix, kind, p) for kind, prefix, *properties in lines for p in properties]
+
+
+def properties_of(prefix, kind) -> Column:
+    """The properties that a prefix sets for a type of value, or null: a lookup in one folded map."""
+    found: dict[str, list[str]] = {}
+    for name, type_, prop in property_rules():
+        found.setdefault(f"{name}|{type_}", []).append(prop)
+    table = F.map_from_arrays(F.split(F.lit(" ".join(found)), " "), F.split(F.lit(" ".join(",".join(v) for v in found.values())), " "))
+    return F.split(F.try_element_at(table, F.concat_ws("|", col(prefix), col(kind))), ",")
 
 
 def rules_table(spark: SparkSession) -> DataFrame:
@@ -54,8 +108,18 @@ def split_classes(x) -> Column:
 
 
 def strip_variants(token) -> Column:
-    """What follows the last colon outside of brackets."""
-    return F.regexp_replace(col(token), rf"^(?:[^\[\]]|{_NESTED})*:", "")
+    """What follows the last colon outside of brackets; brackets nest to any depth, a stray closing one counts for nothing."""
+    token = col(token)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("colon"))
+
+    def step(seen: Column, i: Column) -> Column:
+        c = F.substr(token, i, F.lit(1))
+        depth = F.when(c == "[", seen["depth"] + 1).when(c == "]", F.greatest(seen["depth"] - 1, F.lit(0))).otherwise(seen["depth"])
+        return F.struct(depth.alias("depth"), F.when((c == ":") & (seen["depth"] == 0), i).otherwise(seen["colon"]).alias("colon"))
+
+    places = F.sequence(F.lit(1), F.length(token))
+    nested = F.aggregate(places, start, step, lambda seen: F.substr(token, seen["colon"] + 1))
+    return F.when(token.contains("["), nested).otherwise(F.substring_index(token, ":", -1))
 
 
 def parse_token(token) -> Column:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.classify import certainty, is_unitless, value_type
 from ..functions.identity import element_fact_id, fact_id
 from ..functions.normalize import normalize_property, normalize_value
-from ..functions.utility import arbitrary_type, declared_value, parse_token, rules_table
+from ..functions.utility import arbitrary_type, declared_value, parse_token, properties_of
 from ..schema import SCHEMA_VERSION, SUBJECT, SUBJECT_COLUMNS
 
 #: The columns that every step hands on.
@@ -16,38 +17,42 @@ _COMMON = ("file", "producer", "kind", "source", "loc", "element", *SUBJECT_COLU
 
 
 def typed(observations: DataFrame) -> DataFrame:
-    """Give each value its type; class tokens are parsed and arbitrary ones also become declarations."""
-    how = F.col("typed_as")
-    plain = observations.where("kind <> 'css.class'").withColumn(
-        "type",
+    """Give each value its type; class tokens are parsed and arbitrary ones also become declarations.
+
+    One pass: every observation becomes an array of its own row and of the
+    declarations that an arbitrary value makes, which is then exploded. The
+    parser below is read once, and no join or shuffle is needed.
+    """
+    how, is_class = F.col("typed_as"), F.col("kind") == "css.class"
+    content = F.col("parsed.arbitrary")
+    plain = (
         F.when(how == "sheet", value_type("property", "raw", "sheet"))
         .when(how == "css-in-js", value_type("property", "raw", "css-in-js"))
         .when(how == "inline", value_type("property", "raw", "inline"))
         .when(how == "inline-number", F.when(is_unitless("property"), "number").otherwise("length"))
-        .otherwise(how),
+        .otherwise(how)
     )
-    tokens = observations.where("kind = 'css.class'").withColumn("parsed", parse_token("token"))
-    content = F.col("parsed.arbitrary")
-    classes = (
-        tokens.withColumn("raw", F.when(F.col("parsed.is_arbitrary"), content).otherwise(F.col("token")))
-        .withColumn("type", F.when(F.col("parsed.is_arbitrary"), arbitrary_type(content)).otherwise("keyword"))
-        .withColumn("utility", F.col("parsed.utility"))
-        .withColumn("is_arbitrary", F.col("parsed.is_arbitrary"))
+    parsed = observations.withColumn("parsed", F.when(is_class, parse_token("token"))).withColumn(
+        "declared", F.when(F.col("parsed.is_arbitrary"), declared_value(content))
     )
-    # The rules are a fixed table of about seventy rows.
-    rules = F.broadcast(rules_table(observations.sparkSession).select(F.col("prefix").alias("r_prefix"), F.col("type").alias("r_type"), F.col("property").alias("r_property")))
-    declared = (
-        tokens.where("parsed.is_arbitrary")
-        .withColumn("value", declared_value("parsed.arbitrary"))
-        .join(rules, (F.col("parsed.prefix") == F.col("r_prefix")) & (F.col("value.type") == F.col("r_type")))
-        .withColumn("kind", F.lit("css.declaration"))
-        .withColumn("property", F.col("r_property"))
-        .withColumn("raw", F.col("value.raw"))
-        .withColumn("type", F.col("value.type"))
-        .withColumn("token", F.lit(None).cast("string"))
+    arbitrary = F.col("parsed.is_arbitrary")
+    own = F.struct(
+        F.col("kind"),
+        F.col("token"),
+        F.when(is_class, F.col("parsed.utility")).otherwise(F.col("utility")).alias("utility"),
+        F.when(is_class, arbitrary).otherwise(F.col("is_arbitrary")).alias("is_arbitrary"),
+        F.col("property"),
+        F.when(arbitrary, content).otherwise(F.col("raw")).alias("raw"),
+        F.when(is_class, F.when(arbitrary, arbitrary_type(content)).otherwise("keyword")).otherwise(plain).alias("type"),
     )
-    parts = [x.select(*_COMMON) for x in (plain, classes, declared)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    text, flag = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    declaration = lambda p: F.struct(
+        F.lit("css.declaration").alias("kind"), text.alias("token"), text.alias("utility"), flag.alias("is_arbitrary"), p.alias("property"), F.col("declared.raw").alias("raw"), F.col("declared.type").alias("type")
+    )
+    properties = F.coalesce(properties_of("parsed.prefix", "declared.type"), F.array().cast("array<string>"))
+    made = parsed.withColumn("made", F.explode(F.concat(F.array(own), F.transform(properties, declaration))))
+    new = {f.name for f in made.schema["made"].dataType.fields}
+    return made.select(*[F.col(f"made.{c}" if c in new else c).alias(c) for c in _COMMON])
 
 
 def _subject() -> Column:
@@ -105,18 +110,52 @@ def sort_facts(facts: DataFrame) -> DataFrame:
     return facts.orderBy("file", "loc.line", "loc.col", "kind", "fact_id")
 
 
-def upsert(facts: DataFrame, newer: DataFrame | None = None) -> DataFrame:
-    """One row for each fact_id; of equal ids the newer table's row stays, then the last in full order.
+def numbered(facts: DataFrame) -> DataFrame:
+    """Facts with their ``place`` (from 1) in the total order.
 
-    Equal ids agree in all that is hashed; they are reduced by a pre-aggregated
-    maximum, not by a window, so repeated facts don't gather in one task.
+    The order begins with the file, so places are counted within files, which
+    spread over the cluster, and only one row a file takes part in the running
+    sum over files. Both sides read one exchange.
+    """
+    inside = Window.partitionBy("file").orderBy("loc.line", "loc.col", "kind", "fact_id")
+    rows = facts.repartition("file").withColumn("rank", F.row_number().over(inside)).withColumn("in_file", F.count(F.lit(1)).over(Window.partitionBy("file")))
+    files = rows.where("rank = 1").select(F.col("file").alias("of_file"), "in_file")
+    before = F.sum("in_file").over(Window.orderBy("of_file").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = files.select("of_file", F.coalesce(before, F.lit(0)).alias("before"))
+    placed = rows.drop("in_file").join(offsets, F.col("file") == F.col("of_file"))
+    return placed.select(*facts.columns, (F.col("before") + F.col("rank")).alias("place"))
+
+
+def upsert(facts: DataFrame, newer: DataFrame | None = None, order: str | None = None) -> DataFrame:
+    """One row for each fact_id: of equal ids the row of the newer table, then the last by column ``order``, stays.
+
+    Tables have no order of rows of their own; without ``order`` (which is not
+    handed on) the greatest full text decides, so the result never depends on
+    the partitioning. Equal ids agree in all that is hashed; they are reduced
+    by a pre-aggregated maximum, not by a window, so repeated facts don't
+    gather in one task.
     """
-    rank = lambda df, n: df.select(F.col("fact_id").alias("id"), F.struct(F.lit(n).alias("run"), F.to_json(F.struct("producer_v", "source", "certainty", "diagnostic", "value.raw")).alias("text"), F.struct(*df.columns).alias("row")).alias("x"))
-    rows = rank(facts, 0)
+    columns = [c for c in facts.columns if c != order]
+
+    def ranked(df: DataFrame, run: int) -> DataFrame:
+        text = F.to_json(F.struct("producer_v", "source", "certainty", "diagnostic", "value.raw"))
+        rank = F.struct(F.lit(run).alias("run"), (F.col(order) if order else F.lit(0)).alias("place"), text.alias("text"))
+        return df.select(F.col("fact_id").alias("id"), rank.alias("rank"), F.struct(*columns).alias("row"))
+
+    rows = ranked(facts, 0)
     if newer is not None:
-        rows = rows.unionByName(rank(newer, 1))
-    best = rows.groupBy("id").agg(F.max_by("x.row", F.struct("x.run", "x.text")).alias("row"))
-    return best.select("row.*")
+        rows = rows.unionByName(ranked(newer, 1))
+    return rows.groupBy("id").agg(F.max_by("row", "rank").alias("row")).select("row.*")
+
+
+def listed(facts: DataFrame, allowed: DataFrame, column: str, inside: bool = True) -> DataFrame:
+    """The facts whose ``column`` is (or is not) in the one column of ``allowed``; null values are never in it.
+
+    For an allow-list, say of norms or of tokens: a semi or an anti join.
+    """
+    names = allowed.select(F.col(allowed.columns[0]).alias("listed_value"))
+    rows = facts.withColumn("listed_key", F.col(column))
+    return rows.join(names, F.col("listed_key") == F.col("listed_value"), "left_semi" if inside else "left_anti").drop("listed_key")
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -128,9 +167,19 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def owned_by(facts: DataFrame) -> DataFrame:
-    """Facts that hang on an element with the element's name and import."""
-    elements = facts.where("kind = 'jsx.element'").select(
-        F.col("fact_id").alias("element_id"), F.col("subject.name").alias("element_name"), F.col("subject.imported_from").alias("element_from")
-    ).dropDuplicates(["element_id"])
-    rows = facts.where("subject.element_id is not null").withColumn("element_id", F.col("subject.element_id"))
-    return rows.join(elements, "element_id", "left")
+    """Facts that hang on an element with the element's name and import.
+
+    Facts and elements meet by a window on the element's id: one exchange of
+    one input instead of a join of the facts with themselves. A window holds
+    what hangs on one element of one file.
+    """
+    is_element = F.col("kind") == "jsx.element"
+    here = Window.partitionBy("element_id")
+    element = F.max(F.when(is_element, F.struct("subject.name", "subject.imported_from"))).over(here)
+    rows = facts.withColumn("element_id", F.when(is_element, F.col("fact_id")).otherwise(F.col("subject.element_id"))).where("element_id is not null")
+    return (
+        rows.withColumn("owner", element)
+        .where(~is_element)
+        .select("*", F.col("owner.name").alias("element_name"), F.col("owner.imported_from").alias("element_from"))
+        .drop("owner")
+    )

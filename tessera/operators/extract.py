@@ -6,12 +6,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..parse.extractors import Options, extract_file
+from ..parse.extractors import Options, chosen_extractors, extract_file
 from ..schema import PARSED
 from .assemble import assemble
 
@@ -19,37 +20,48 @@ from .assemble import assemble
 BATCH = 2000
 
 
-def parse_sources(sources: DataFrame, options: Options = Options(), path_col: str = "path", code_col: str = "code") -> DataFrame:
-    """One parse of each file by all chosen extractors (rows of schema.PARSED).
+def routed(path) -> Column:
+    """The language that a path's extension names: sheet, program or null."""
+    low = F.lower(path if isinstance(path, Column) else F.col(path))
+    return F.when(low.endswith(".css"), "sheet").when(low.endswith(".tsx") | low.endswith(".ts"), "program")
+
+
+def parse_sources(sources: DataFrame, options: Options = Options(), path_col: str = "path", code_col: str = "code", key_col: str | None = None) -> DataFrame:
+    """One parse of each file by all chosen extractors (rows of schema.PARSED, after ``key_col`` where given).
 
     The files that no extractor reads are pruned before Python sees them; the
-    scan stays partitioned as it is, and nothing is shuffled.
+    scan stays partitioned as it is, and nothing is shuffled. The extractors
+    are sent to the workers with the plan, registered ones included.
     """
-    low = F.lower(F.col(path_col))
-    wanted = low.endswith(".css") | low.endswith(".tsx") | low.endswith(".ts")
-    schema = to_arrow_schema(PARSED)
+    extra = [key_col] if key_col else []
+    fields = T.StructType([*(sources.schema[c] for c in extra), *PARSED.fields])
+    schema, chosen = to_arrow_schema(fields), chosen_extractors(options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         for batch in batches:
-            for file, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held += extract_file(file, code or "", options)
+            keys = batch.column(2).to_pylist() if extra else [None] * batch.num_rows
+            for file, code, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), keys):
+                rows = extract_file(file, code or "", options, chosen)
+                held += [{**r, key_col: key} for r in rows] if extra else rows
                 while len(held) >= BATCH:
                     yield pa.RecordBatch.from_pylist(held[:BATCH], schema)
                     held = held[BATCH:]
         if held:
             yield pa.RecordBatch.from_pylist(held, schema)
 
-    return sources.where(wanted).select(F.col(path_col), F.col(code_col)).mapInArrow(run, PARSED)
+    return sources.where(routed(path_col).isNotNull()).select(path_col, code_col, *extra).mapInArrow(run, fields)
 
 
 def register_udtf(spark: SparkSession, name: str = "extract_facts", options: Options = Options()) -> None:
     """Make ``SELECT ... FROM t, LATERAL extract_facts(path, code)`` available in SQL."""
 
+    chosen = chosen_extractors(options)
+
     @udtf(returnType=PARSED)
     class Extract:
         def eval(self, file: str, code: str):
-            for row in extract_file(file or "", code or "", options):
+            for row in extract_file(file or "", code or "", options, chosen):
                 yield tuple(row.values())
 
     spark.udtf.register(name, Extract)
@@ -61,9 +73,13 @@ class Extraction:
     diagnostics: DataFrame
     parsed: DataFrame
 
+    @classmethod
+    def of(cls, parsed: DataFrame) -> Extraction:
+        """Facts and diagnostics of parsed rows."""
+        side = parsed.where("rec = 'diag'").select("file", "producer", "reason", "message", "loc", "kind")
+        return cls(assemble(parsed.where("rec = 'obs'")), side, parsed)
+
 
 def extract(sources: DataFrame, options: Options = Options(), **columns: str) -> Extraction:
     """Facts and diagnostics of a table of sources (path, code)."""
-    parsed = parse_sources(sources, options, **columns)
-    side = parsed.where("rec = 'diag'").select("file", "producer", "reason", "message", "loc", "kind")
-    return Extraction(assemble(parsed.where("rec = 'obs'")), side, parsed)
+    return Extraction.of(parse_sources(sources, options, **columns))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.classify import certainty, is_unitless, value_type
 from ..functions.identity import canonical_json, fact_id, sha256_hex
@@ -20,12 +19,12 @@ from ..functions.normalize import (
 )
 from ..functions.text import js_trim
 from ..functions.utility import arbitrary_type, declared_value, looks_like_class, parse_token, rules_table, split_classes, strip_variants
-from ..operators.assemble import diff, owned_by, upsert
-from ..operators.extract import extract, parse_sources, register_udtf
-from ..operators.output import coverage, fact_json, flat, unresolved_rate
+from ..operators.assemble import diff, listed, numbered, owned_by, upsert
+from ..operators.extract import extract, parse_sources, register_udtf, routed
+from ..operators.output import coverage, fact_json, facts_from_json, flat, unresolved_rate
 from ..sources.files import file_keys, files_digest, from_table, split_by_cache
-from .policy import STANDARD, message, run_policy, sarif_results, scores
-from .samples import SHEET_FACTS, VIEW_FACTS, page_styles, sheets, table, views
+from .policy import STANDARD, Policy, message, run_policy, sarif_results, scores
+from .samples import SHEET_FACTS, VIEW_FACTS, page_styles, reviews, sheets, table, views
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -85,11 +84,11 @@ def normalize_colors(spark, sf_dir):
 
 
 @query("""SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS whole, CAST(o_orderkey AS VARCHAR) || '.5' AS half,
-  '-' || o_orderkey AS negative, '0' AS zero, '0.5' AS point, '1e-7' AS tiny, '1e+21' AS large, '1e3' AS other FROM orders WHERE o_orderkey > 0""")
+  CASE WHEN o_orderkey = 0 THEN '0' ELSE '-' || o_orderkey END AS negative, '0' AS zero, '0.5' AS point, '1e-7' AS tiny, '1e+21' AS large, '1e3' AS other FROM orders""")
 def format_numbers(spark, sf_dir):
     k = _text("o_orderkey")
     made = {"whole": F.concat(F.lit("+0"), k, F.lit(".00")), "half": F.concat(k, F.lit(".50")), "negative": F.concat(F.lit("-"), k), "zero": F.lit("-0"), "point": F.lit(".5"), "tiny": F.lit("0.0000001"), "large": F.lit("1" + "0" * 21), "other": F.lit(" 1e3 ")}
-    return table(spark, sf_dir, "orders").where("o_orderkey > 0").select("o_orderkey", *[format_number(v).alias(k) for k, v in made.items()])
+    return table(spark, sf_dir, "orders").select("o_orderkey", *[format_number(v).alias(k) for k, v in made.items()])
 
 
 @query("""SELECT n_nationkey, regexp_replace(lower(n_name), '[^a-z]', '', 'g') || '-color' AS camel, '--' || n_name AS custom,
@@ -231,9 +230,8 @@ def content_hashes(spark, sf_dir):
 @query("""SELECT CASE WHEN doc_id % 4 = 0 THEN 'css' ELSE 'program' END AS language, count(*) AS n FROM documents WHERE doc_id % 4 < 3 GROUP BY 1""")
 def route_by_extension(spark, sf_dir):
     path = F.element_at(F.array(*map(F.lit, ("a.CSS", "a.tsx", "a.ts", "a.scss"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    low = F.lower(path)
-    language = F.when(low.endswith(".css"), "css").when(low.endswith(".tsx") | low.endswith(".ts"), "program")
-    return table(spark, sf_dir, "documents").select(language.alias("language")).where("language is not null").groupBy("language").agg(F.count(F.lit(1)).alias("n"))
+    routes = table(spark, sf_dir, "documents").select(routed(path).alias("route")).where("route is not null")
+    return routes.groupBy(F.replace("route", F.lit("sheet"), F.lit("css")).alias("language")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # -- extractors ----------------------------------------------------------------
@@ -261,11 +259,6 @@ def extract_page_styles(spark, sf_dir):
     return facts.select(F.regexp_extract("file", r"\d+", 0).cast("long").alias("page_id"), F.lit(1).alias("n"), F.col("value.norm").alias("norm"), F.col("subject.selector").alias("selector"))
 
 
-@query("""SELECT page_id, len(regexp_extract_all(html, '<[a-zA-Z][a-zA-Z0-9]*')) AS tags FROM pages""")
-def count_page_tags(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("<[a-zA-Z][a-zA-Z0-9]*"), 0)).cast("long").alias("tags"))
-
-
 @query(f"WITH {SHEET_FACTS} SELECT file, line, raw FROM facts")
 def extract_in_sql(spark, sf_dir):
     register_udtf(spark)
@@ -303,8 +296,7 @@ def collect_classes(spark, sf_dir):
 # -- facts as a table ------------------------------------------------------------
 @query(f"WITH {VIEW_FACTS} SELECT fact_id, row_number() OVER (ORDER BY file, line, col, kind, fact_id) AS place FROM facts")
 def total_order(spark, sf_dir):
-    w = Window.orderBy("file", "loc.line", "loc.col", "kind", "fact_id")
-    return _facts(spark, sf_dir).select("fact_id", F.row_number().over(w).alias("place"))
+    return numbered(_facts(spark, sf_dir)).select("fact_id", "place")
 
 
 @query(f"""WITH {SHEET_FACTS} SELECT sha256('{{"certainty":"literal","fact_id":"' || fact_id || '","file":"' || file || '","kind":"css.declaration","loc":{{"col":' || col || ',"endCol":' || "endCol" || ',"endLine":' || "endLine" || ',"line":' || line ||
@@ -315,15 +307,19 @@ def ndjson_lines(spark, sf_dir):
 
 @query("""SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""")
 def upsert_last(spark, sf_dir):
-    rows = table(spark, sf_dir, "events")
-    best = rows.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type", "value"), F.struct("ts", "event_id")).alias("row"))
-    return best.select("user_id", "row.*")
+    """Events as versions of one fact a user; the last in time stays."""
+    none = F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "events").select(
+        _text("user_id").alias("fact_id"), F.lit("events").alias("producer_v"), F.col("event_type").alias("source"), F.lit("literal").alias("certainty"), none.alias("diagnostic"),
+        F.struct(_text("value").alias("raw")).alias("value"), "event_id", F.col("value").alias("amount"), F.struct("ts", "event_id").alias("place"),
+    )
+    return upsert(rows, order="place").select(F.col("fact_id").cast("long").alias("user_id"), "event_id", F.col("source").alias("event_type"), F.col("amount").alias("value"))
 
 
 @query(f"WITH {SHEET_FACTS} SELECT kind, count(DISTINCT fact_id) AS n FROM facts GROUP BY kind")
 def upsert_facts(spark, sf_dir):
-    facts = _facts(spark, sf_dir, sheets)
-    return upsert(facts.unionByName(facts), facts).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    runs = _facts(spark, sf_dir, sheets).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("run"))
+    return upsert(runs, order="run").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT CASE WHEN s THEN 'added' ELSE 'removed' END AS change, count(*) AS n FROM (
@@ -333,8 +329,8 @@ def diff_runs(spark, sf_dir):
     return diff(ids.where("m <> 1"), ids.where("m <> 0")).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {VIEW_FACTS} SELECT f.fact_id, x.fact_id AS element_id, CASE WHEN x.subject LIKE '%Card%' THEN 'Card' ELSE 'div' END AS element_name,
-  CASE WHEN x.subject LIKE '%Card%' THEN '@acme/ui' END AS element_from FROM facts f JOIN facts x ON x.kind = 'jsx.element' AND f.subject LIKE '%"element_id":"' || x.fact_id || '"%' AND f.file = x.file""")
+@query(f"""WITH {VIEW_FACTS} SELECT f.fact_id, x.fact_id AS element_id, CASE WHEN x.subject LIKE '%Tile%' THEN 'Tile' ELSE 'div' END AS element_name,
+  CASE WHEN x.subject LIKE '%Tile%' THEN '@north/kit' END AS element_from FROM facts f JOIN facts x ON x.kind = 'jsx.element' AND f.subject LIKE '%"element_id":"' || x.fact_id || '"%' AND f.file = x.file""")
 def join_elements(spark, sf_dir):
     return owned_by(_facts(spark, sf_dir)).select("fact_id", "element_id", "element_name", "element_from")
 
@@ -356,7 +352,9 @@ def coverage_rate(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def count_by_kind(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    """Events as facts of their type, counted by the coverage report."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.lit("literal").alias("certainty"), F.lit("events").alias("source"), F.lit(None).cast("string").alias("diagnostic"))
+    return coverage(rows).where("section = 'kind'").select(F.col("key").alias("event_type"), "n")
 
 
 # -- policies --------------------------------------------------------------------
@@ -377,18 +375,28 @@ def _policy(policy) -> None:
     query(f"WITH {VIEW_FACTS} SELECT fact_id, file, raw FROM facts WHERE {_RULES[policy.id]}")(run)
 
 
-for _p in STANDARD.policies:
+for _p in STANDARD.policies[:4]:
     _policy(_p)
 
 
+@query("""SELECT 'w/' || c_custkey || '.tsx' AS file, property, raw, diagnostic FROM customer, (SELECT unnest([
+  {'property': 'height', 'raw': 'INTERPOLATION_0px', 'diagnostic': 'styled-interpolation'}, {'property': 'color', 'raw': 'inherit', 'diagnostic': 'unnormalizable-color'},
+  {'property': 'top', 'raw': 'x', 'diagnostic': 'mutable-binding'}], recursive := true))""")
+def policy_needs_review(spark, sf_dir):
+    return run_policy(_facts(spark, sf_dir, reviews), STANDARD.policies[4]).select("file", "property", "raw", "diagnostic")
+
+
 @query(f"WITH {VIEW_FACTS} " + " UNION ALL ".join(f"SELECT '{p.id}' AS policy, '{p.level}' AS level, count(*) AS violations, CAST(count(*) = 0 AS INTEGER) AS score FROM facts WHERE {_RULES[p.id]}" for p in STANDARD.policies if p.level != "note"))
 def policy_scores(spark, sf_dir):
     return scores(_facts(spark, sf_dir))
 
 
-@query(f"WITH {VIEW_FACTS} SELECT '{STANDARD.policies[3].id}' AS policy, file, line, col, fact_id FROM facts WHERE source = 'inline'")
+@query(f"""WITH {VIEW_FACTS}, named AS (SELECT *, json_extract_string(subject, '$.property') AS property FROM facts)
+  SELECT '{STANDARD.policies[3].id}' AS policy, file, line, col, fact_id, '{{"ruleId":"no-inline-style","level":"warning","message":{{"text":"' || property ||
+  '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || file || '"}},"region":{{"startLine":' || line || ',"startColumn":' || (col + 1) || ',"endLine":' || "endLine" ||
+  ',"endColumn":' || ("endCol" + 1) || '}}}}}}],"partialFingerprints":{{"factId":"' || fact_id || '"}}}}' AS result FROM named WHERE source = 'inline'""")
 def sarif_rows(spark, sf_dir):
-    return sarif_results(_facts(spark, sf_dir)).where("policy = 'no-inline-style'").drop("result")
+    return sarif_results(_facts(spark, sf_dir)).where("policy = 'no-inline-style'")
 
 
 @query("SELECT o_orderkey, 'order ' || o_orderkey || ' is ' || o_orderpriority || '; ' AS text FROM orders")
@@ -397,16 +405,22 @@ def render_messages(spark, sf_dir):
     return rows.select("o_orderkey", message("order {o_orderkey} is {o_orderpriority}; {nothing}{missing}", rows.columns).alias("text"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) > 50")
+@query(f"""WITH {VIEW_FACTS} SELECT fact_id, raw FROM facts WHERE json_extract_string(subject, '$.property') = 'width' AND value_type = 'length' OR json_extract_string(subject, '$.is_arbitrary') = 'true'""")
 def json_paths(spark, sf_dir):
-    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
-    return table(spark, sf_dir, "events").select("event_id", k.alias("k")).where("k > 50")
+    sql = "SELECT * FROM facts WHERE json->>'$.subject.property' = 'width' AND json_extract(json, '$.value.type') = 'length' OR json_extract(json, '$.subject.is_arbitrary') = 1"
+    return run_policy(_facts(spark, sf_dir), Policy("paths", sql)).select("fact_id", "raw")
+
+
+@query(f"WITH {VIEW_FACTS} SELECT {FLAT} FROM facts")
+def json_round_trip(spark, sf_dir):
+    """Facts as canonical JSON lines, read again."""
+    return _flat(facts_from_json(_facts(spark, sf_dir).select(fact_json().alias("value"))))
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (1, 3, 5)")
+@query(f"WITH {VIEW_FACTS} SELECT fact_id, norm FROM facts WHERE norm IS NOT NULL AND norm NOT IN ('#a1b2c3', 'flex', '@north/kit')")
 def allow_list(spark, sf_dir):
-    listed = spark.range(1).select(F.explode(F.from_json(F.lit("[1, 3, 5]"), "array<int>")).alias("n_nationkey"))
-    return table(spark, sf_dir, "nation").join(listed, "n_nationkey", "left_anti").select("n_nationkey", "n_name")
+    allowed = spark.range(1).select(F.explode(F.from_json(F.lit('["#a1b2c3", "flex", "@north/kit"]'), "array<string>")).alias("norm"))
+    return listed(_facts(spark, sf_dir).where("value.norm is not null"), allowed, "value.norm", inside=False).select("fact_id", F.col("value.norm").alias("norm"))
 
 
 @query("""SELECT 'hit' AS state, count(*) AS n FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT 'miss', count(*) FROM documents WHERE doc_id % 3 = 0""")

@@ -28,14 +28,14 @@ class PolicySet:
     policies: tuple[Policy, ...] = field(default_factory=tuple)
 
 
-#: The standard checks of a design system.
+#: The standard checks of a design system. Ids, levels and conditions.
 STANDARD = PolicySet(
     "standard",
     "1",
     "Hard-coded values and inline styles",
     (
         Policy("hardcoded-color", "SELECT * FROM facts WHERE kind = 'css.declaration' AND value_type = 'color' AND certainty = 'literal'", "error", message="{property}: {raw}"),
-        Policy("hardcoded-spacing", "SELECT * FROM facts WHERE kind = 'css.declaration' AND value_type = 'length' AND certainty = 'literal'", "error", message="{property}: {raw}"),
+        Policy("hardcoded-spacing", "SELECT * FROM facts WHERE kind = 'css.declaration' AND value_type = 'length' AND certainty = 'literal'", "warning", message="{property}: {raw}"),
         Policy("no-arbitrary-tailwind", "SELECT * FROM facts WHERE kind = 'css.class' AND is_arbitrary", "warning", message="{token}"),
         Policy("no-inline-style", "SELECT * FROM facts WHERE kind = 'css.declaration' AND source = 'inline'", "warning", message="{property}"),
         Policy("needs-review", "SELECT * FROM facts WHERE kind = 'css.declaration' AND certainty IN ('dynamic', 'unknown')", "note", message="{property}: {diagnostic}"),
@@ -72,22 +72,42 @@ def translate(sql: str) -> str:
     return re.sub(r"\bjson\s*->>\s*'(\w+)'", name, sql)
 
 
-def run_policy(facts: DataFrame, policy: Policy, view: str = "facts") -> DataFrame:
-    """The violations of one policy."""
-    facts_view(facts).createOrReplaceTempView(view)
-    return facts.sparkSession.sql(translate(policy.sql))
+def run_policy(facts: DataFrame, policy: Policy) -> DataFrame:
+    """The violations of one policy: any SQL over a table called facts."""
+    sql = translate(policy.sql).replace("{", "{{").replace("}", "}}")
+    return facts.sparkSession.sql(re.sub(r"(?i)\b(from|join)\s+facts\b", r"\1 {facts}", sql), facts=facts_view(facts))
+
+
+_CONDITION = re.compile(r"(?is)^\s*select\s+\*\s+from\s+facts\s+where\s+(.*?)[\s;]*$")
+_MORE = re.compile(r"(?i)\b(?:select|group|order|having|limit|union|intersect|except|window|qualify|offset)\b")
+
+
+def condition(policy: Policy) -> Column | None:
+    """The policy as a condition on one fact, where it is no more than that."""
+    found = _CONDITION.match(translate(policy.sql))
+    return F.expr(found.group(1)) if found and not _MORE.search(re.sub(r"'(?:[^']|'')*'", "''", found.group(1))) else None
+
+
+def _split(policies: PolicySet) -> tuple[list[tuple[Policy, Column]], list[Policy]]:
+    both = [(p, condition(p)) for p in policies.policies]
+    return [(p, c) for p, c in both if c is not None], [p for p, c in both if c is None]
 
 
 def scores(facts: DataFrame, policies: PolicySet = STANDARD) -> DataFrame:
-    """(policy, level, violations, score): 1 where nothing was found; notes don't score."""
-    spark = facts.sparkSession
+    """(policy, level, violations, score): 1 where nothing was found; notes don't score.
+
+    Policies that are conditions are counted together in one pass; others run
+    as queries of their own.
+    """
+    simple, other = _split(PolicySet(policies.name, policies=tuple(p for p in policies.policies if p.level != "note")))
+    row = lambda p, n: F.struct(F.lit(p.id).alias("policy"), F.lit(p.level).alias("level"), n.alias("violations"), (n == 0).cast("int").alias("score"))
     parts = []
-    for p in policies.policies:
-        if p.level == "note":
-            continue
-        n = run_policy(facts, p).agg(F.count(F.lit(1)).alias("violations"))
-        parts.append(n.select(F.lit(p.id).alias("policy"), F.lit(p.level).alias("level"), "violations", (F.col("violations") == 0).cast("int").alias("score")))
-    out = parts[0] if parts else spark.createDataFrame([], "policy string, level string, violations long, score int")
+    if simple:
+        counts = facts_view(facts).agg(*[F.count_if(c).alias(f"n{i}") for i, (_, c) in enumerate(simple)])
+        parts.append(counts.select(F.inline(F.array(*[row(p, F.col(f"n{i}")) for i, (p, _) in enumerate(simple)]))))
+    for p in other:
+        parts.append(run_policy(facts, p).agg(F.count(F.lit(1)).alias("n")).select(F.inline(F.array(row(p, F.col("n"))))))
+    out = parts[0] if parts else facts.sparkSession.createDataFrame([], "policy string, level string, violations long, score int")
     for x in parts[1:]:
         out = out.unionByName(x)
     return out
@@ -105,20 +125,35 @@ def message(template: str, columns: list[str]) -> Column:
 
 
 def sarif_results(facts: DataFrame, policies: PolicySet = STANDARD) -> DataFrame:
-    """One row a violation with its SARIF result as JSON; columns count from one."""
-    out = None
-    for p in policies.policies:
-        found = run_policy(facts, p)
+    """One row a violation with its SARIF result as JSON; columns count from one.
+
+    Each fact is tested for all policies that are conditions in one pass.
+    """
+    simple, other = _split(policies)
+
+    def result(p: Policy, columns: list[str]) -> Column:
         place = F.struct(F.col("line").alias("startLine"), (F.col("col") + 1).alias("startColumn"), F.col("endLine"), (F.col("endCol") + 1).alias("endColumn"))
-        result = F.struct(
+        made = F.struct(
             F.lit(p.id).alias("ruleId"),
             F.lit(p.level).alias("level"),
-            F.struct(message(p.message, found.columns).alias("text")).alias("message"),
+            F.struct(message(p.message, columns).alias("text")).alias("message"),
             F.array(F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), place.alias("region")).alias("physicalLocation"))).alias("locations"),
             F.struct(F.col("fact_id").alias("factId")).alias("partialFingerprints"),
         )
-        rows = found.select(F.lit(p.id).alias("policy"), "file", "line", "col", "fact_id", F.to_json(result).alias("result"))
-        out = rows if out is None else out.unionByName(rows)
+        return F.struct(F.lit(p.id).alias("policy"), F.to_json(made).alias("result"))
+
+    parts = []
+    if simple:
+        view = facts_view(facts)
+        found = F.array_compact(F.array(*[F.when(c, result(p, view.columns)) for p, c in simple]))
+        parts.append(view.select("file", "line", "col", "fact_id", F.explode(found).alias("x")))
+    for p in other:
+        view = run_policy(facts, p)
+        parts.append(view.select("file", "line", "col", "fact_id", result(p, view.columns).alias("x")))
+    parts = [x.select("x.policy", "file", "line", "col", "fact_id", "x.result") for x in parts]
+    out = parts[0] if parts else facts.sparkSession.createDataFrame([], "policy string, file string, line int, col int, fact_id string, result string")
+    for x in parts[1:]:
+        out = out.unionByName(x)
     return out
 
 

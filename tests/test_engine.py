@@ -1,17 +1,19 @@
+import hashlib
 import io
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import cli, schema
 from tessera.functions.normalize import format_number, normalize_color, normalize_keyword, normalize_length, normalize_property, normalize_value
-from tessera.operators.assemble import diff, sort_facts, upsert
+from tessera.operators.assemble import diff, listed, sort_facts, upsert
 from tessera.operators.extract import extract
 from tessera.operators.output import coverage, ndjson, unresolved_rate
 from tessera.parse import css, tsx
 from tessera.parse.extractors import Options, extract_file, register
-from tessera.plans.policy import STANDARD, load_policies, run_policy, sarif, scores, translate
+from tessera.plans.policy import STANDARD, Policy, PolicySet, condition, load_policies, run_policy, sarif, scores, translate
 from tessera.sources.cache import extract_cached
 from tessera.sources.files import build_header, discover, from_table
 
@@ -31,6 +33,9 @@ export const View = ({ on, k }: Props) => (
 );
 """
 
+#: The digest of the stream of APP, from a run whose lines were read one by one.
+PINNED = "1ce35cdbb61bd5f98921ed9b2c382a5f21765b343a983d85287f2a2f55d8659d"
+
 
 def rows(spark, files):
     df = spark.createDataFrame(list(files.items()), "f string, t string")
@@ -143,6 +148,134 @@ def test_files_cache_and_cli(spark, tmp_path):
     assert [cli.run(a, spark, out, err) for a in (["--version"], ["--help"], [], ["nope"], ["extract", "/nowhere"], ["--bad"])] == [0, 0, 1, 2, 1, 2]
 
 
+def test_one_parse_for_every_query(spark):
+    """Python reads each file once, whatever is asked of its facts."""
+    from tessera.plans.catalog import QUERIES
+
+    single = ["extract_css", "coverage_report", "policy_scores", "sarif_rows", "join_elements", "upsert_facts", "ndjson_lines", "expand_arbitrary_values", "assemble_facts"]
+    for name in single:
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1, name
+
+
+APP = {
+    "Panel.tsx": TSX,
+    "base.css": ".a { color: #FFF; margin: 0 4px; border-radius: 0 }\n@media print { .b { background: transparent; top: 3PX } }",
+    "Tag.tsx": "const SIZE = 4;\nconst C = 'mt-[6px] md:hover:[&_[data-x=\"[y]\"]]:p-2';\nexport const T = () => <b className={C} style={{ left: -SIZE, top: +SIZE, color: 'red' }} x={-'a'} />;\n",
+}
+
+
+def test_pinned_stream(spark):
+    """The whole stream of a small application: a change of any id, order or text shows."""
+    x = extract(rows(spark, APP))
+    lines = [r[0] for r in ndjson(x.facts).collect()]
+    assert hashlib.sha256("\n".join(lines).encode()).hexdigest() == PINNED, lines
+    assert {r.policy: r.violations for r in scores(x.facts).collect()} == {"hardcoded-color": 4, "hardcoded-spacing": 5, "no-arbitrary-tailwind": 1, "no-inline-style": 8}
+    signed = {r.subject.property: r.value.norm for r in x.facts.where("source = 'inline' and file = 'Tag.tsx'").collect()}
+    assert signed == {"left": "-4px", "top": "4px", "color": "#ff0000"}
+    assert {r.diagnostic for r in x.facts.where("subject.prop = 'x' or subject.attribute = 'x'").collect()} == {"unsupported-unary:-"}
+
+
+REASONS = """import styled from 'styled-components';
+import dep from 'dep';
+declare const Q: number;
+const E = {};
+const SP = { ...dep };
+const FN = { a() {} };
+const Bad = styled.div`${dep};`;
+const Odd = styled.div`${dep}: 1px;`;
+const el = <div {...dep} a={E[dep]} b={SP.x} c={FN[dep]} d={} f={Q} style={dep} className={`x-${dep} y`} />;
+const two = <i style={{ ...dep, [dep]: 1, ok: 2 }} className={dep} class={[dep.x, f()]} />;
+"""
+
+
+def test_reason_codes(spark):
+    x = extract(rows(spark, {"r.tsx": REASONS, "bad.css": "a { color: red"}))
+    on_facts = {r.diagnostic for r in x.facts.where("diagnostic is not null").collect()}
+    assert {"member-empty-object", "member-object-has-spread", "member-non-data-property", "empty-expression", "no-initializer", "imported-binding"} <= on_facts
+    side = {(r.file, r.reason) for r in x.diagnostics.collect()}
+    assert {r for f, r in side if f == "r.tsx"} == {
+        "spread-attribute", "dynamic-style-object", "non-property-in-style", "computed-style-key", "styled-parse-error", "dynamic-styled-property",
+        "dynamic-classname-segment", "unknown-classname", "dynamic-classname-call", "dynamic-classname",
+    }
+    assert ("bad.css", "parse-error") in side
+
+
+def test_globs(spark, tmp_path):
+    from tessera.sources.files import glob_regex, listing
+
+    cases = {"**/*.{ts,tsx}": (["a.ts", "x/y/b.tsx"], ["a.css", "a.ts/x"]), "src/*.css": (["src/a.css"], ["src/x/a.css", "a.css"]), "**/dist/**": (["dist/a", "x/dist/y/z"], ["distant/a"]), "[!a]?.ts": (["bc.ts"], ["ac.ts", "b.ts"])}
+    for glob, (yes, no) in cases.items():
+        assert all(re.match(glob_regex(glob), x) for x in yes) and not any(re.match(glob_regex(glob), x) for x in no), glob
+    for name, data in {"src/b.css": b".a { color: \xff }", "src/a.ts": b"let x = 1", "gen/c.css": b".c { top: 1px }", ".hid/d.css": b"x"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    assert [r.path for r in listing(discover(spark, str(tmp_path))).collect()] == ["gen/c.css", "src/a.ts", "src/b.css"]
+    assert [r.path for r in discover(spark, str(tmp_path), exclude=("gen/**",), include=("**/*.css",)).collect()] == ["src/b.css"]
+    assert discover(spark, str(tmp_path)).where("path = 'src/b.css'").first().code == ".a { color: \ufffd }"
+
+
+def test_cache_survives_crashes_and_damage(spark, tmp_path):
+    import shutil
+
+    files = rows(spark, {"a.css": ".a { color: #FFF }", "b.css": ".b { top: 1px }"})
+    cache = str(tmp_path / "cache")
+    want = [r[0] for r in ndjson(extract(files).facts).collect()]
+    run = lambda df=files: extract_cached(df, cache)
+    assert (run().misses, run().hits) == (2, 2)
+    first = next((tmp_path / "cache" / "runs").iterdir())
+    shutil.rmtree(first / "files")  # as after a crash between the two writes
+    again = run()
+    assert again.misses == 2 and [r[0] for r in ndjson(again.result.facts).collect()] == want
+    for f in (tmp_path / "cache" / "runs").glob("*/rows/*.parquet"):
+        f.write_bytes(b"damaged")
+    assert [r[0] for r in ndjson(run().result.facts).collect()] == want
+    twice = run(files.union(files))
+    assert [r[0] for r in ndjson(twice.result.facts).collect()] == want
+
+
+def test_cli_options(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a.css").write_text(".a { color: #FFF; }")
+    (tmp_path / "b.css").write_text(".b { color: red; }")
+    (tmp_path / "tw.config").write_text("1")
+    out, err, target = io.StringIO(), io.StringIO(), str(tmp_path / "out.json")
+    assert cli.run(["extract", str(tmp_path), "--json", "--no-cache", "--exclude", "x/**", "--config", "tw.config", "-o", target, "--stats"], spark, out, err) == 0
+    text = open(target).read().rstrip("\n")
+    made = json.loads(text)
+    assert json.dumps(made, sort_keys=True, separators=(",", ":"), ensure_ascii=False) == text and [f["file"] for f in made["facts"]] == ["b.css"]
+    assert set(made["snapshot_header"]["config_hashes"]) == {"tw.config"} and "by kind" in err.getvalue() and out.getvalue() == ""
+    for note in ("0 cached", "1 cached"):
+        err = io.StringIO()
+        assert cli.run(["extract", str(tmp_path), "--include", "x/*.css", "--pretty"], spark, out, err) == 0 and note in err.getvalue()
+    assert json.loads(out.getvalue().split("}\n{")[0] + "}")["facts"][0]["value"]["norm"] == "#ffffff"
+
+
+def test_upsert_order_and_lists(spark):
+    facts = extract(rows(spark, {"a.css": ".a { color: #FFF; top: 2px }"})).facts
+    runs = facts.withColumn("run", F.lit(1)).union(facts.withColumn("producer_v", F.lit("a")).withColumn("run", F.lit(2)))
+    assert {r.producer_v for r in upsert(runs, order="run").collect()} == {"a"}
+    allowed = spark.createDataFrame([("#ffffff",)], "norm string")
+    assert [r.value.norm for r in listed(facts, allowed, "value.norm").collect()] == ["#ffffff"]
+    assert [r.value.norm for r in listed(facts, allowed, "value.norm", inside=False).collect()] == ["2px"]
+    policy = Policy("many", "SELECT kind, count(*) AS fact_id FROM facts GROUP BY kind HAVING count(*) > 1")
+    assert run_policy(facts, policy).count() == 1 and condition(policy) is None
+    assert scores(facts, PolicySet("x", policies=(*STANDARD.policies, policy))).where("policy = 'many'").first().violations == 1
+    assert not spark.catalog.tableExists("facts")
+
+
+def test_registered_extractors_run_on_workers(spark):
+    def words(parsed, ctx):
+        for d in parsed:
+            ctx.emit("css.class", "tailwind", ctx.loc(d), token=d.prop, raw=d.prop, typed_as="class")
+
+    register("words", "sheet", words)
+    got = extract(rows(spark, {"a.css": ".a { color: #FFF }"}), Options(extractors=("words", "css"))).facts.collect()
+    assert {r.kind for r in got} == {"css.class", "css.declaration"}
+    with pytest.raises(ValueError):
+        extract(rows(spark, {"a.css": ""}), Options(extractors=("none",)))
+
+
 def test_schema_and_registry(spark):
     assert [c["name"] for c in schema.column_manifest()] == "fact_id kind schema_v file line col endLine endCol source producer_v certainty diagnostic raw norm value_type".split()
     assert set(schema.json_schema()["$defs"]) == set(schema.KINDS)
@@ -158,3 +291,7 @@ def test_streaming(spark, tmp_path):
     facts = FactTable(spark, str(tmp_path / "facts"))
     stream_facts(spark.readStream.schema("path string, code string").parquet(path), facts, str(tmp_path / "ck")).awaitTermination()
     assert facts.read().count() == 1
+    again = FactTable(spark, str(tmp_path / "facts"))  # as after a restart
+    assert again.read().count() == 1
+    again.merge(extract(rows(spark, {"b.css": ".b { top: 1px }"})).facts)
+    assert FactTable(spark, str(tmp_path / "facts")).read().count() == 2
