@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import materialise
+from tessera.llm.common import materialise, packed_row
 from tessera.llm.decontamination import find_contamination
-from tessera.llm.jaccard_join import jaccard_components
+from tessera.llm.jaccard_join import jaccard_groups
 from tessera.llm.language_id import UNKNOWN, identify_language
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.mixing import mix_sources
@@ -34,24 +34,33 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by shingle Jaccard the smallest id stays, once."""
-    stay = jaccard_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")), "left_semi")
-    place = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text"))
-    return kept.select("*", place.alias("_place")).where("_place = 1").select(*docs.columns)
+    """Of documents linked by shingle Jaccard the smallest id stays, once; of rows that repeat id and text one stays."""
+    stay = jaccard_groups(docs).where("stays").select(F.col("doc_id").alias("stay_id"), F.col("print").alias("stay_print")).distinct()
+    rows = docs.select(packed_row(docs).alias("row"), F.col("doc_id").alias("id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("print"))
+    kept = rows.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("print") == F.col("stay_print")), "left_semi")
+    place = F.row_number().over(Window.partitionBy("id", "text").orderBy(F.xxhash64("row")))
+    return kept.withColumn("place", place).where("place = 1").select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    hits = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark item go; rows without id go together, as hits name ids."""
+    hits = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("hit_id")).distinct()
+    rows = docs.select(packed_row(docs).alias("row"), F.col("doc_id").alias("id"))
+    return rows.join(hits, F.col("id").eqNullSafe(F.col("hit_id")), "left_anti").select("row.*")
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its place in the Pfair mixture; sort by mix_order."""
-    mixed = mix_sources(docs)
-    extra = [F.col(c).alias(c if c.startswith("mix_") else f"mix_{c}") for c in ("block", "slot", "release", "deadline", "mix_order")]
-    return mixed.select("row.*", *extra)
+    """Every document with its place in the Pfair mixture; sort by mix_order.
+
+    The places come in columns mix_*, with underscores before a name that the documents have already.
+    """
+    taken, extra = {c.lower() for c in docs.columns}, []
+    for c in ("block", "slot", "release", "deadline", "mix_order"):
+        name = c if c.startswith("mix_") else f"mix_{c}"
+        while name in taken:
+            name = f"_{name}"
+        extra.append(F.col(c).alias(name))
+    return mix_sources(docs).select("row.*", *extra)
 
 
 STAGES = [
