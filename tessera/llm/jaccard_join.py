@@ -322,8 +322,8 @@ def _merge(df: DataFrame, other: DataFrame, on: str, how: str = "inner") -> Data
     return df.hint("merge").join(other, on, how)
 
 
-def _split(members: DataFrame, sets: DataFrame, percent: int, pivots: int, task_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """Voronoi regions of large regions: the next members, and the links of the pivots' balls.
+def _split(members: DataFrame, sets: DataFrame, percent: int, pivots: int, task_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Voronoi regions of large regions: the next members, the links of the pivots' balls, and their components.
 
     A region elects pivots, those that own the least of ``pivots`` random
     parts. Nodes within r of a pivot link to it. Each node is dealt to its
@@ -357,7 +357,7 @@ def _split(members: DataFrame, sets: DataFrame, percent: int, pivots: int, task_
         F.xxhash64("region", "p.pivots").alias("region"), "node", "n", "own", (F.col("owns") & (F.col("nearest") == F.col("p.pivots"))).alias("owns"), "known"
     )
     open_ = placed.groupBy("region").agg(F.min("known").alias("x"), F.max("known").alias("y"), F.max("owns").alias("o")).where("x <> y and o").select("region")
-    return materialise(_merge(placed, open_, "region", "left_semi"), "jac-members"), links
+    return materialise(_merge(placed, open_, "region", "left_semi"), "jac-members"), links, known
 
 
 def jaccard_groups(
@@ -395,8 +395,9 @@ def jaccard_groups(
        These are compared with the whole region.
     4. Clusters with more than ``task_bytes`` of sets are split in the same way
        by the cluster, each share of a region in a task of its own, until
-       regions fit a task. What does not get smaller in ``rounds`` is compared
-       by pairs of blocks, each pair of blocks in one task.
+       regions fit a task. Where windows would more than double a round's nodes,
+       or after ``rounds``, blocks of a region are compared in pairs, each pair
+       of blocks in one task.
 
     No link is lost: bounds only rule out pairs that can't link, and sizes of
     sets and intersections are exact. Shingles are 64-bit hashes.
@@ -459,10 +460,16 @@ def jaccard_groups(
         add(materialise(solve(_merge(members, large, "region", "left_anti")), "jac-links"))
         members = _merge(members, large, "region")
         if i < rounds:
-            members, balls = _split(members.drop("total"), sets, percent, pivots, task_bytes)
+            parts, balls, known = _split(members.drop("total"), sets, percent, pivots, task_bytes)
             add(balls)
-        else:
-            add(solve(_block_pairs(members, task_bytes)))
+            size = lambda df: df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            if size(parts) <= 2 * size(members):
+                members = parts
+                continue
+            # Windows as wide as their regions: splitting again would only repeat nodes.
+            members = _merge(members.drop("known"), known, "node", "left").withColumn("known", F.coalesce("label", F.col("node"))).drop("label")
+        add(solve(_block_pairs(members, task_bytes)))
+        break
     # Where every cluster fits a task, its links are its component: all to one node.
     labels = components(links) if not whole else materialise(links.select(F.col("b").alias("node"), F.col("a").alias("label")), "jac-labels")
 

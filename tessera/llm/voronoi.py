@@ -92,8 +92,7 @@ def _region(sets, nodes, owns, label, percent, leaf, pivots) -> None:
         sets, nodes, owns = [s for s, x in zip(sets, live) if x], nodes[live], owns[live]
         if not _open(label[nodes], owns):
             return
-    _, group, size = np.unique(label[nodes], return_inverse=True, return_counts=True)
-    if (size[group] < size.max()).sum() <= leaf or len(nodes) <= leaf:
+    if _outside(label[nodes]) <= leaf:
         return _compare(space, nodes, owns, label, percent)
     r, near = 1 - percent / 100, 1e-9
     d, closest, at = [], np.full(len(nodes), np.inf), int(np.argmin(space.own / space.n))
@@ -108,16 +107,22 @@ def _region(sets, nodes, owns, label, percent, leaf, pivots) -> None:
             break
     d = np.array(d)
     nearest = d.argmin(axis=0)
+    parts, work = [], 0
     for j in range(len(d)):
         mine = nearest == j
-        inside = mine | (d[j] <= closest + 2 * r + near)
-        if not _open(label[nodes[inside]], (owns & mine)[inside]):
-            continue
-        if inside.sum() > 0.8 * len(nodes):
-            _compare(space, nodes, owns & mine, label, percent, inside)
-        else:
-            at = np.flatnonzero(inside)
-            _region([sets[i] for i in at], nodes[at], (owns & mine)[at], label, percent, leaf, pivots)
+        at = np.flatnonzero(mine | (d[j] <= closest + 2 * r + near))
+        if _open(label[nodes[at]], (owns & mine)[at]):
+            parts.append((at, (owns & mine)[at]))
+            work += _outside(label[nodes[at]]) * len(at)
+    if work > 0.7 * _outside(label[nodes]) * len(nodes):  # windows as wide as the region: splitting would only repeat work
+        return _compare(space, nodes, owns, label, percent)
+    for at, own in parts:
+        _region([sets[i] for i in at], nodes[at], own, label, percent, leaf, pivots)
+
+
+def _outside(label: np.ndarray) -> int:
+    """How many nodes lie outside the largest component."""
+    return len(label) - int(np.unique(label, return_counts=True)[1].max())
 
 
 def _open(label: np.ndarray, owns: np.ndarray) -> bool:
@@ -125,20 +130,17 @@ def _open(label: np.ndarray, owns: np.ndarray) -> bool:
     return len(label) > 1 and owns.any() and bool((label != label[0]).any())
 
 
-def _compare(space, nodes, owns, label, percent, inside=None) -> None:
+def _compare(space, nodes, owns, label, percent) -> None:
     """All pairs of two components that an own node is part of.
 
     Pairs within the largest component are settled, so only nodes outside
     it are taken one by one and compared with the whole region.
     """
-    inside = np.ones(len(nodes), bool) if inside is None else inside
     slack = space.slack(percent)
-    found, group, size = np.unique(label[nodes], return_inverse=True, return_counts=True)
-    largest = found[size.argmax()]
-    outside = label[nodes] != largest
-    for i in np.flatnonzero(outside & inside):
-        mine = label[nodes[i]]
-        may = inside & (label[nodes] != mine) & (slack[i] >= percent * space.n) & (slack >= percent * space.n[i])
+    found, size = np.unique(label[nodes], return_counts=True)
+    outside = label[nodes] != found[size.argmax()]
+    for i in np.flatnonzero(outside):
+        may = (label[nodes] != label[nodes[i]]) & (slack[i] >= percent * space.n) & (slack >= percent * space.n[i])
         if not owns[i]:
             may &= owns
         if may.any():
