@@ -83,3 +83,37 @@ WITH RECURSIVE w AS (
 SELECT w.doc_id, coalesce(n, 0) AS n_shingles, component_id, class_size FROM w LEFT JOIN sizes USING (doc_id) JOIN named USING (doc_id)
 """
 SQL["op5_jaccard_join"] = OP5
+
+# Bytes as two hexadecimal digits each; windows are cut from pieces of 699 bytes, so that cutting costs the same anywhere in a text.
+OP6 = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), block AS (
+  SELECT doc_id, len(h) // 2 AS n, h, unnest(range(0, len(h) // 2, 500)) AS pos FROM d
+), piece AS (
+  SELECT doc_id, n, pos, substr(h, 2 * pos + 1, 1398) AS t FROM block
+), p AS (
+  SELECT doc_id, n, pos, t, unnest(range(0, 500)) AS j FROM piece
+), s AS (
+  SELECT doc_id, pos + j AS i, md5_number(substr(t, 2 * j + 1, 400)) AS k FROM p WHERE pos + j <= n - 200
+), r AS (
+  SELECT k FROM s GROUP BY k HAVING count(*) > 1
+), hit AS (
+  SELECT doc_id, i FROM s WHERE k IN (SELECT k FROM r)
+), step AS (
+  SELECT doc_id, i, coalesce(i > lag(i) OVER w + 200, true) AS new FROM hit WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), run AS (
+  SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM step
+), span AS (
+  SELECT doc_id, g, min(i) AS a, max(i) + 200 AS b FROM run GROUP BY doc_id, g
+), gap AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_ FROM span
+), cut AS (
+  SELECT g.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) AS head, max(b) AS last
+  FROM gap g JOIN d USING (doc_id) GROUP BY g.doc_id
+)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(from_hex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+SQL["op6_suffix_dedup"] = OP6
