@@ -6,6 +6,7 @@ import base64
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -51,13 +52,29 @@ class CountTree:
     """A segment tree over a document's pre-tokens: characters and tokens.
 
     A leaf holds about LEAF pre-tokens; inner nodes hold the sums of their
-    children, so an edit rewrites a leaf or a few and the path above them.
+    children, so an edit rewrites a leaf or a few and the path above them. A
+    leaf that insertions have made eight times as long has the leaves dealt
+    anew, without encoding anything again.
     """
 
-    def __init__(self, text: str, encoder: Encoder):
+    def __init__(self, text: str, encoder: Encoder, kept: tuple[list[int], list[int]] | None = None):
+        """The tree of a text; ``kept`` are the lengths and counts of its pre-tokens, where they are known."""
         self.encoder, self.reencoded = encoder, 0
-        tokens = _SPLIT.findall(text)
-        counts = encoder.counts(tokens)
+        if kept is None:
+            tokens = _SPLIT.findall(text)
+            self._deal(tokens, encoder.counts(tokens))
+            return
+        lengths, counts = kept
+        if sum(lengths) != len(text) or len(lengths) != len(counts):
+            raise ValueError("the kept tree is of another text")
+        ends = list(accumulate(lengths))
+        self._deal([text[b - n : b] for b, n in zip(ends, lengths)], list(counts))
+
+    def kept(self) -> tuple[list[int], list[int]]:
+        """The lengths and counts of the pre-tokens: what a later run starts from."""
+        return [len(t) for tokens, _ in self.leaves for t in tokens], [c for _, counts in self.leaves for c in counts]
+
+    def _deal(self, tokens: list[str], counts: list[int]) -> None:
         self.leaves = [(tokens[a : a + LEAF], counts[a : a + LEAF]) for a in range(0, len(tokens), LEAF)] or [([], [])]
         self.size = 1 << (len(self.leaves) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
@@ -144,9 +161,9 @@ class CountTree:
                         tail_counts.append(count)
                     at += len(token)
         self.reencoded += len(fresh)
-        self._put(leaf, head + fresh + tail, head_counts + self.encoder.counts(fresh) + tail_counts)
         for i in range(leaf + 1, last + 1):
             self._put(i, [], [])
+        self._put(leaf, head + fresh + tail, head_counts + self.encoder.counts(fresh) + tail_counts)
 
     @staticmethod
     def _bounds(tokens: list[str], start: int) -> list[int]:
@@ -164,6 +181,8 @@ class CountTree:
         while node > 1:
             node //= 2
             self._add_up(node)
+        if len(tokens) > 8 * LEAF:
+            self._deal([t for x, _ in self.leaves for t in x], [c for _, x in self.leaves for c in x])
 
     def text(self) -> str:
         return "".join("".join(t) for t, _ in self.leaves)
@@ -185,24 +204,37 @@ def masking_edits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _count(shared, make_edits):
+_TREE = "struct<lengths:array<int>,counts:array<int>>"
+
+
+def _count(shared, make_edits, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in chunks(batches):
             rows = []
             edits_of = batch.column("edits").to_pylist() if make_edits is None else None
+            trees = batch.column("tree").to_pylist() if "tree" in batch.schema.names else None
+            after = []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 text = text or ""
                 edits = make_edits(text) if make_edits is not None else [(e["start"], e["end"], e["new"]) for e in edits_of[i] or []]
-                tree = CountTree(text, encoder)
+                known = trees[i] if trees else None
+                tree = CountTree(text, encoder, (known["lengths"], known["counts"]) if known else None)
                 before, pieces = tree.total, sum(len(t) for t, _ in tree.leaves)
                 shift = 0
                 for a, b, new in sorted(edits, key=lambda e: e[:2]):
                     tree.replace(a + shift, b + shift, new)
                     shift += len(new) - (b - a)
                 rows.append((before, tree.total, len(edits), pieces, tree.reencoded))
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
-            yield pa.record_batch([batch.column("doc_id"), *columns], ["doc_id", "n_tokens", "n_tokens_after", "n_edits", "n_pieces", "n_reencoded"])
+                if keep:
+                    after.append((tree.text(), dict(zip(("lengths", "counts"), tree.kept()))))
+            columns = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in zip(*rows))]
+            names = ["doc_id", "n_tokens", "n_tokens_after", "n_edits", "n_pieces", "n_reencoded"]
+            if keep:
+                lists = pa.list_(pa.int32())
+                columns += [pa.array([t for t, _ in after], pa.string()), pa.array([t for _, t in after], pa.struct([("lengths", lists), ("counts", lists)]))]
+                names += ["text_after", "tree"]
+            yield pa.record_batch(columns, names)
 
     return run
 
@@ -215,6 +247,8 @@ def count_tokens(
     text_col: str = "text",
     make_edits=masking_edits,
     max_vocabulary_bytes: int = 64 << 20,
+    keep: bool = False,
+    tree_col: str | None = None,
 ) -> DataFrame:
     """doc_id, n_tokens, n_tokens_after, n_edits, n_pieces, n_reencoded for every input row.
 
@@ -226,7 +260,13 @@ def count_tokens(
     the root. ``vocabulary`` is a rank file that the driver reads and
     broadcasts (ValueError beyond ``max_vocabulary_bytes``).
 
-    Null text is empty: no tokens. Edits of ids without a row are ignored;
+    With ``keep`` each row also has text_after and tree, the lengths and counts
+    of the edited text's pre-tokens. Given back as ``tree_col`` with that text,
+    they are what the next batch of edits starts from: nothing but what it
+    touches is split or encoded again.
+
+    A text is worked on as a whole by one task, which takes about 100 times its
+    bytes for its tree. Null text is empty: no tokens. Edits of ids without a row are ignored;
     rows that repeat an id all get its edits; edits with null ids apply to
     nothing. Empty tables give empty results.
     """
@@ -235,14 +275,15 @@ def count_tokens(
     if len(ranks) > max_vocabulary_bytes:
         raise ValueError("the vocabulary file is too large to broadcast")
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    tree = [F.col(tree_col).cast(_TREE).alias("tree")] if tree_col else []
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *tree)
     id_type = base.schema["doc_id"].dataType.simpleString()
     if edits is not None:
         grouped = edits.groupBy(F.col(id_col).alias("doc_id")).agg(
             F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.coalesce("new", F.lit("")).alias("new"))).alias("edits")
         )
-        base, make_edits = base.join(grouped, "doc_id", "left").select("doc_id", "text", "edits"), None
+        base, make_edits = base.join(grouped, "doc_id", "left"), None
     return base.mapInArrow(
-        _count(shared, make_edits),
-        f"doc_id {id_type}, n_tokens long, n_tokens_after long, n_edits long, n_pieces long, n_reencoded long",
+        _count(shared, make_edits, keep),
+        f"doc_id {id_type}, n_tokens long, n_tokens_after long, n_edits long, n_pieces long, n_reencoded long" + (f", text_after string, tree {_TREE}" if keep else ""),
     )
