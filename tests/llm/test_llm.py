@@ -319,6 +319,51 @@ def test_decontamination(spark, docs, empty):
     assert find_contamination(empty, bench).count() == 0 and find_contamination(rows, bench.limit(0)).count() == 0
 
 
+def contamination_by_hand(docs, items, threshold=0.6, overlap=0.6):
+    """(doc, item): (passage, score, question and answer overlap) by plain loops; ASCII texts of at most 64 words an item."""
+    tokens = {i: re.findall(r"[a-z0-9]+", (t or "").lower()) for i, t in items}
+    tokens = {i: w for i, w in tokens.items() if w}
+    mean, df = sum(map(len, tokens.values())) / len(tokens), Counter(t for w in tokens.values() for t in set(w))
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    out = {}
+    for i, w in tokens.items():
+        tf = Counter(w)
+        weight = {t: math.log(1 + (len(tokens) - df[t] + 0.5) / (df[t] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t, c in tf.items()}
+        stops = [len(re.findall(r"[a-z0-9]+", dict(items)[i][: m.end()].lower())) for m in re.finditer(r"(?<=[A-Za-z0-9])[.!?]", dict(items)[i])]
+        third = max(1, len(w) // 3)
+        stops = [x for x in stops if 0 < x <= len(w) - third]
+        cut = stops[-1] if stops else max(1, len(w) - third)
+        parts = w[:cut], w[cut:] if cut < len(w) else w
+        for d, text in docs:
+            words_ = re.findall(r"[a-z0-9]+", (text or "").lower())
+            for x in range(max(1, -(-len(words_) // 64) - 1)):
+                here = words_[x * 64 : x * 64 + 128]
+                score = sum(v for t, v in weight.items() if t in set(here)) / sum(weight.values())
+                shares = [len(grams(p, min(3, len(p))) & grams(here, min(3, len(p)))) / len(grams(p, min(3, len(p)))) for p in parts]
+                if score >= threshold - 1e-9 and min(shares) >= overlap and (d, i) not in out or (d, i) in out and min(shares) >= overlap and (score, *shares) > out[d, i][1:]:
+                    out[d, i] = (x, score, *shares)
+    return out
+
+
+def test_decontamination_against_plain_loops(spark):
+    rng = random.Random(14)
+    vocabulary = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(150)]
+    say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(i, f"{say(rng.randint(3, 30))}? {say(rng.choice([1, 2, 9, 20]))}." + (f" {say(2)}." if i % 3 else "")) for i in range(25)] + [(90, ""), (91, None), (92, say(1))]
+    docs = [(i, say(rng.choice([0, 5, 60, 500]))) for i in range(40)] + [(i, None) for i in (70, 71)]
+    for i in range(40):
+        w = items[rng.randrange(25)][1].split(" ")
+        w = [x if rng.random() > 0.12 else say(1) for x in w][: rng.choice([99, 99, 12])]
+        docs.append((100 + i, f"{say(rng.randint(0, 200))} {' '.join(w)} {say(rng.randint(0, 90))}"))
+    want = contamination_by_hand(docs, items)
+    spark_docs, bench = (spark.createDataFrame(x, f"{c} long, text string") for x, c in ((docs, "doc_id"), (items, "item_id")))
+    for options in ({}, {"shard_items": 7, "shards_a_pass": 2}):
+        got = {(r.doc_id, r.item_id): (r.passage, r.score, r.question_overlap, r.answer_overlap) for r in find_contamination(spark_docs, bench, **options).collect()}
+        assert got.keys() == want.keys() and len(want) > 20
+        for k, v in want.items():
+            assert got[k][0] == v[0] and got[k][1:] == pytest.approx(v[1:])
+
+
 def test_block_max_wand_finds_all():
     import pyarrow as pa
 
@@ -424,20 +469,91 @@ def test_edit_aware_counts(spark, docs, empty):
             tree.replace(a, b, new)
             text = text[:a] + new + text[b:]
             assert tree.text() == text and tree.total == len(encoder.encode(text))
+            again = CountTree(text, encoder, tree.kept())
+            assert (again.total, again.kept()) == (tree.total, tree.kept())
+    tree, text = CountTree("start end", encoder), "start end"
+    for i in range(900):  # insertions at one place: leaves stay short
+        tree.replace(5, 5, f" w{i}")
+        text = f"{text[:5]} w{i}{text[5:]}"
+    assert tree.text() == text and tree.total == len(encoder.encode(text)) and max(len(t) for t, _ in tree.leaves) <= 600
     edits = spark.createDataFrame([(3, 0, 3, "a much longer"), (3, 4, 7, None), (12345, 0, 1, "x")], "doc_id long, start long, end long, new string")
     got = {r.doc_id: r for r in count_tokens(docs, RANKS, edits).collect()}
     assert got[3].n_edits == 2 and got[3].n_tokens_after == len(encoder.encode("a much longer "))
+    first = count_tokens(docs.where("doc_id < 30"), RANKS, keep=True)
+    more = spark.createDataFrame([(9, 0, 4, "two words"), (9, 50, 50, "x")], "doc_id long, start long, end long, new string")
+    second = {r.doc_id: r for r in count_tokens(first, RANKS, more, text_col="text_after", tree_col="tree", keep=True).collect()}
+    assert all(r.n_tokens == len(encoder.encode(r.text_after)) for r in second.values() if r.n_edits == 0 and r.text_after)
+    assert second[9].n_tokens_after == len(encoder.encode(second[9].text_after)) and second[9].n_reencoded < 20
     assert got[0].n_tokens == 0 and count_tokens(empty, RANKS).count() == 0
     assert count_tokens(docs.where("doc_id = 4").withColumn("text", F.lit("mail a.b@c.org now")), RANKS).first().n_tokens_after == len(encoder.encode("mail <email> now"))
 
 
+def test_very_long_texts(spark):
+    """A text of 3 MB, its near copy and short ones: whole texts count, their ends included."""
+    rng = random.Random(21)
+    long = " ".join(f"{rng.choice('abcdefgh')}w{i}" for i in range(400_000))
+    key, item = "".join(rng.choice("0123456789abcdef") for _ in range(40)), "what is planted near the end of this text? the item with nine more words here."
+    texts = [long, f"{long} {item} and token = '{key}'", "short one", "short one", ""]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(2)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    by_id = lambda df: {r.doc_id: r for r in df.collect()}
+    assert [by_id(exact_dedup(docs))[i].keep_id for i in range(5)] == [0, 1, 3, 3, 4]
+    assert by_id(line_report(docs))[0].kept_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    assert [by_id(jaccard_components(docs))[i].component_id for i in range(5)] == [0, 0, 2, 2, 4]
+    got = by_id(suffix_dedup(docs).drop("kept"))
+    assert (got[0].n_bytes, got[0].n_removed, got[1].n_removed) == (len(long), len(long), len(long))
+    assert by_id(lm_scores(docs))[1].n_tokens == len(words(texts[1])) + 1
+    assert {r.lang_pred for r in identify_language(docs).collect()} == {"en", "und"}
+    assert [(r.doc_id, r.item_id) for r in find_contamination(docs, bench).collect()] == [(1, 1)]
+    assert [(r.doc_id, r.value) for r in scan_secrets(docs).where("is_secret").collect()] == [(1, key)]
+    assert by_id(count_tokens(docs, RANKS, make_edits=lambda t: [(len(t), len(t), " end")] if t else []))[0].n_reencoded < 50
+    assert mix_sources(docs.withColumn("source", F.lit("a"))).count() == 5
+
+
 def test_pipeline(spark, tmp_path):
+    """Every stage against plain loops over what the stage before it kept."""
     import corpus_pipeline as p
 
     leaked = max(corpus()[-22:-2], key=lambda r: len(r[1]))
-    spark.createDataFrame(corpus(), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(*r[:5], "x", "y") for r in corpus()] + [(None, "a b c d e f g h", "en", "a", 1, "x", "y"), (None, leaked[1], None, None, 1, "x", "y")]
+    fields = SCHEMA.replace("row string", "mix_slot string").replace("drop string", "Stay_id string")
+    spark.createDataFrame(rows, fields).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, leaked[1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    out = p.run(spark, str(tmp_path)).collect()
-    ids = [r.doc_id for r in out]
-    assert len(ids) == len(set(ids)) and not {0, 1, 2} & set(ids) and leaked[0] not in ids
-    assert 9 in ids and len(ids) < 80  # line deduplication empties equal texts; one of the near copies stays
+    docs, steps = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in p.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        steps.append([(r.doc_id, r.text) for r in docs.collect()])
+        assert name == "mix_sources" or docs.columns == [f.split(" ")[0] for f in fields.split(", ")]
+    known, lines, groups, clean, mixed = steps
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    found = identify_language(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()
+    assert Counter(i for i, _ in known) == Counter(r.doc_id for r in found if r.lang_pred != "und" and r.score >= p.LEAST_LANGUAGE_SCORE)
+    strip = lambda x: lower(x.strip(BLANK))
+    holders = defaultdict(set)
+    for i, t in known:
+        for x in (t or "").split("\n"):
+            if len(strip(x)) >= 40:
+                holders[strip(x)].add(i)
+    last = lambda ids: max((i for i in ids if i is not None), default=None)
+    want = [(i, "\n".join(x for x in t.split("\n") if len(holders.get(strip(x), ())) < 5 or last(holders[strip(x)]) == i)) for i, t in known]
+    assert sorted(lines, key=key) == sorted(want, key=key)
+    sets = [{tuple(words(t)[j : j + 5]) for j in range(max(1, len(words(t)) - 4))} if words(t) else set() for _, t in lines]
+    label = list(range(len(lines)))
+    for _ in range(4):
+        for i in range(len(lines)):
+            for j in range(i):
+                n = len(sets[i] & sets[j])
+                if n and 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n):
+                    label[i] = label[j] = min(label[i], label[j])
+    stay = defaultdict(list)
+    for row, c, s in zip(lines, label, sets):
+        stay[c if s else (None, row)].append(row)
+    assert sorted(groups, key=lambda x: key(x)[:2]) and Counter(min(v, key=lambda x: key(x)[:2])[0] for v in stay.values()) == Counter(i for i, _ in groups)
+    gone = {d for d, _ in contamination_by_hand(groups, [(0, leaked[1])])}
+    assert gone and sorted(clean, key=key) == sorted((x for x in groups if x[0] not in gone), key=key)
+    assert sorted(mixed, key=key) == sorted(clean, key=key)
+    out = spark.read.parquet(f"{tmp_path}/mix_sources")
+    assert "_mix_slot" in out.columns and out.select("mix_order").distinct().count() == len(mixed)
+    assert sorted((r.doc_id, r.text) for r in p.run(spark, str(tmp_path)).collect() if r.doc_id is not None) == sorted(x for x in mixed if x[0] is not None)
