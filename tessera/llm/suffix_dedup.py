@@ -19,6 +19,8 @@ from .vectors import _BYTE, U64, chunks, mix, powers, prefix_hash, text_bytes
 PAD = 0xFF
 #: Bytes of text taken at a time; arrays of eight bytes a byte are made of it.
 CHUNK = 512 << 10
+#: Suffixes that are resolved at a time, at least, where their groups end.
+BLOCK = 50_000
 #: Anchors are small hashes, so their slices come from another hash.
 _SPREAD = U64(0xA0761D6478BD642F)
 
@@ -210,13 +212,24 @@ def _ship_suffixes(length: int, k: int, slices: int):
     return run
 
 
-def _decode(lcp: np.ndarray, tails: bytes, width: int) -> list[bytes]:
-    out, last, at = [], b"", 0
-    for p in lcp.tolist():
-        last = last[:p] + tails[at : at + width - p]
-        at += width - p
-        out.append(last)
-    return out
+class FrontCoded:
+    """A run of strings that is decoded as the merge goes through it: one string of it is whole at a time."""
+
+    def __init__(self, lcp: np.ndarray, tails: bytes, width: int):
+        self.lcp, self.tails, self.width = lcp.tolist(), memoryview(tails), width
+        self.at, self.next, self.last = 0, 0, b""
+
+    def __len__(self) -> int:
+        return len(self.lcp)
+
+    def __getitem__(self, i: int) -> bytes:
+        """String i, which is the one asked for last or the one after it."""
+        if i == self.next:
+            p = self.lcp[i]
+            self.last = self.last[:p] + self.tails[self.at : self.at + self.width - p]
+            self.at += self.width - p
+            self.next += 1
+        return self.last
 
 
 def _first_difference(a: bytes, b: bytes, start: int) -> int:
@@ -312,29 +325,30 @@ def _merge(length: int, k: int):
             lcp = np.frombuffer(r["lcp"], np.uint16)
             known.append(np.frombuffer(r["known"], np.int64).reshape(4, -1))
             if len(lcp):
-                runs.append((_decode(lcp, r["tails"], width), lcp.tolist()))
+                coded = FrontCoded(lcp, r["tails"], width)
+                runs.append((coded, coded.lcp))
                 about.append(np.frombuffer(r["about"], np.int64).reshape(6, -1))
         spans = [np.concatenate(known, axis=1)]
-        if runs:
-            base = np.cumsum([0, *[len(r[0]) for r in runs]])
-            about = np.concatenate(about, axis=1)
-            total = int(base[-1])
-            at, lcp, text = np.empty(total, np.int64), np.empty(total, np.int64), []
-            for i, (r, j, common) in enumerate(merge_runs(runs)):
-                at[i], lcp[i] = base[r] + j, common
-                text.append(runs[r][0][j])
-            p1, p2, pos, left, right, many = about[:, at]
+
+        def close(at: list[tuple[int, int]], lcp: list[int], text: list[bytes]) -> None:
+            """The spans of whole groups of anchor strings."""
+            p1, p2, pos, left, right, many = np.stack([about[r][:, j] for r, j in at], axis=1)
+            rows = np.frombuffer(b"".join(text), np.uint8).reshape(-1, width)
+            low, high = _resolve(rows, np.array(lcp), left, right, many > 0, length, k)
+            hit = high >= 0
+            spans.append(np.stack([p1[hit], p2[hit], (pos - high)[hit], (pos - low)[hit] + length]))
+
+        at, lcp, text = [], [], []
+        for r, j, common in merge_runs(runs) if runs else ():
             # Groups of one anchor string are apart where less than k bytes agree.
-            cuts = [*np.flatnonzero(lcp < k), total]
-            start = 0
-            for a, b in zip(cuts[1:], cuts[2:] + [total]):
-                if a - start >= 50_000 or a == total or b - start > 200_000:
-                    one = slice(start, a)
-                    rows = np.frombuffer(b"".join(text[start:a]), np.uint8).reshape(-1, width)
-                    low, high = _resolve(rows, lcp[one], left[one], right[one], many[one] > 0, length, k)
-                    hit = high >= 0
-                    spans.append(np.stack([p1[one][hit], p2[one][hit], (pos[one] - high)[hit], (pos[one] - low)[hit] + length]))
-                    start = a
+            if common < k and len(at) >= BLOCK:
+                close(at, lcp, text)
+                at, lcp, text = [], [], []
+            at.append((r, j))
+            lcp.append(common)
+            text.append(runs[r][0][j])
+        if at:
+            close(at, lcp, text)
         p1, p2, a, b = np.concatenate(spans, axis=1)
         long = b - a >= length
         return _by_document(p1[long], p2[long], (a[long].astype(U64) << U64(32)) | b[long].astype(U64))
