@@ -417,7 +417,7 @@ def jaccard_groups(
     first = materialise(
         base.mapInArrow(_describe(k, chunk_bytes), f"doc_id {id_type}, print long, n_shingles long, node long, chunk long, nodes binary, texts binary"), "jac-texts"
     )
-    described = first.where("chunk is null").select("doc_id", "print", "n_shingles", "node")
+    described = materialise(first.where("chunk is null").select("doc_id", "print", "n_shingles", "node"), "jac-docs")
     texts = first.where("chunk is not null").select("chunk", "nodes", "texts")
 
     def exchange(chunked: DataFrame, read, half: bool) -> DataFrame:
@@ -428,6 +428,7 @@ def jaccard_groups(
     live = materialise(
         texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_survivors(k, percent), "chunk long, nodes binary, sizes binary, sets binary"), "jac-live"
     )
+    discard(first)
     prefixes = materialise(
         live.groupBy("chunk").cogroup(exchange(live, _live_sets, False).groupBy("chunk")).applyInArrow(_prefixes(percent, slices), _PREFIX), "jac-prefixes"
     )
@@ -473,6 +474,9 @@ def jaccard_groups(
     # Where every cluster fits a task, its links are its component: all to one node.
     labels = components(links) if not whole else materialise(links.select(F.col("b").alias("node"), F.col("a").alias("label")), "jac-labels")
 
+    for table in (live, prefixes):
+        discard(table)
+
     # Node labels become the smallest document of the component.
     filled = described.where("n_shingles > 0")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "print")
