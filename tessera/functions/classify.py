@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .normalize import NUMBER, normalize_property
-from .text import JS_SPACE, col, has, js_trim, let
+from .text import JS_SPACE, built_once, col, has, js_trim, let
 
 #: The properties that take a colour, in stylesheets and elsewhere.
 SHEET_COLORS = """color background background-color border-color border-top-color border-right-color border-bottom-color
@@ -22,6 +22,7 @@ orphans scale tabSize widows zIndex zoom fillOpacity floodOpacity stopOpacity st
 strokeMiterlimit strokeOpacity strokeWidth""".split()
 
 
+@built_once
 def value_type(prop, raw, place: str = "sheet") -> Column:
     """The type of a declaration's value; place: sheet, inline or css-in-js."""
     name = normalize_property(prop) if place == "inline" else F.lower(js_trim(prop))
@@ -43,10 +44,12 @@ def value_type(prop, raw, place: str = "sheet") -> Column:
     return let(js_trim(raw), kind)
 
 
+@built_once
 def is_unitless(prop) -> Column:
     return F.lower(F.replace(col(prop), F.lit("-"), F.lit(""))).isin([p.lower() for p in UNITLESS])
 
 
+@built_once
 def certainty(kind, dynamic=None, hint=None) -> Column:
     """literal, static-union, dynamic or unknown; null kind: no value."""
     kind = col(kind)

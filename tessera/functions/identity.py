@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col
+from .text import built_once, col
 
 #: The identity fields of each kind's subject, in canonical order.
 SUBJECT_KEYS = {
@@ -44,6 +44,7 @@ def identity(kind: str, file, loc, subject, norm) -> Column:
     )
 
 
+@built_once
 def fact_id(kind, file, loc, subject, norm) -> Column:
     """The id of a fact of any kind."""
     out = F.lit(None).cast("string")
@@ -52,6 +53,7 @@ def fact_id(kind, file, loc, subject, norm) -> Column:
     return out
 
 
+@built_once
 def element_fact_id(file, loc, owner) -> Column:
     """The id of the element fact that owns a row; null without an owner."""
     made = sha256_hex(canonical_json(identity("jsx.element", file, loc, owner, F.lit(None).cast("string"))))

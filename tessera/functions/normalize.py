@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import JS_SPACE, col, has, js_trim, let, part
+from .text import JS_SPACE, built_once, col, has, js_trim, let, part
 
 NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)"
 
@@ -79,6 +79,7 @@ def normalize_length(x) -> Column:
     return let(js_trim(x), lambda t: F.when(has(t, pattern), F.concat(format_number(part(t, pattern)), unit(t))))
 
 
+@built_once
 def normalize_property(x) -> Column:
     """Kebab case; custom properties stay as they are."""
     kebab = lambda t: F.regexp_replace(F.lower(F.regexp_replace(t, "([A-Z])", "-$1")), "^ms-", "-ms-")
@@ -227,11 +228,13 @@ def _color(t: Column) -> Column:
     )
 
 
+@built_once
 def normalize_color(x) -> Column:
     """#rrggbb, or #rrggbbaa where alpha is below one; null where it is no colour."""
     return let(F.lower(js_trim(x)), _color)
 
 
+@built_once
 def normalize_value(kind, raw) -> Column:
     """The normal form of a raw value by its type; null where there is none."""
     kind, raw = col(kind), col(raw)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,3 +31,24 @@ def part(x, pattern: str, group: int = 1) -> Column:
 def let(x: Column, body) -> Column:
     """``body`` of a value that is computed once and used many times."""
     return F.element_at(F.transform(F.array(x), body), 1)
+
+
+def built_once(function):
+    """Keep the columns that a builder makes of names: building a large expression takes longer than planning it.
+
+    A column of names is not bound to a table, so it can be used again for as
+    long as the process talks to the same JVM.
+    """
+    kept: dict = {}
+
+    @functools.wraps(function)
+    def build(*names, **more):
+        if any(isinstance(x, Column) for x in (*names, *more.values())):
+            return function(*names, **more)
+        jvm = SparkContext._gateway
+        key = (names, tuple(sorted(more.items())))
+        if key not in kept or kept[key][0] is not jvm:
+            kept[key] = (jvm, function(*names, **more))
+        return kept[key][1]
+
+    return build

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .normalize import NUMBER
-from .text import JS_SPACE, col, has, js_trim, part
+from .text import JS_SPACE, built_once, col, has, js_trim, part
 
 #: The properties that an arbitrary value sets, by the prefix of its token and the type of the value.
 ARBITRARY_PROPERTIES = {
@@ -90,6 +90,7 @@ def property_rules() -> list[tuple[str, str, str]]:
     return [(prefix, kind, p) for kind, prefix, *properties in lines for p in properties]
 
 
+@built_once
 def properties_of(prefix, kind) -> Column:
     """The properties that a prefix sets for a type of value, or null: a lookup in one folded map."""
     found: dict[str, list[str]] = {}
@@ -107,6 +108,7 @@ def split_classes(x) -> Column:
     return F.filter(F.split(col(x), f"{JS_SPACE}+"), lambda t: t != "")
 
 
+@built_once
 def strip_variants(token) -> Column:
     """What follows the last colon outside of brackets; brackets nest to any depth, a stray closing one counts for nothing."""
     token = col(token)
@@ -122,6 +124,7 @@ def strip_variants(token) -> Column:
     return F.when(token.contains("["), nested).otherwise(F.substring_index(token, ":", -1))
 
 
+@built_once
 def parse_token(token) -> Column:
     """struct(utility, prefix, arbitrary, is_arbitrary) of a class token."""
     bare = strip_variants(token)
@@ -137,6 +140,7 @@ def parse_token(token) -> Column:
     )
 
 
+@built_once
 def arbitrary_type(content) -> Column:
     t = js_trim(F.replace(col(content), F.lit("_"), F.lit(" ")))
     return (
@@ -147,6 +151,7 @@ def arbitrary_type(content) -> Column:
     )
 
 
+@built_once
 def declared_value(content) -> Column:
     """struct(type, raw) of the declaration that an arbitrary value makes; a type hint wins."""
     hint = part(content, "^(color|length|number):")

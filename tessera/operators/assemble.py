@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.classify import certainty, is_unitless, value_type
 from ..functions.identity import element_fact_id, fact_id
 from ..functions.normalize import normalize_property, normalize_value
+from ..functions.text import built_once
 from ..functions.utility import arbitrary_type, declared_value, parse_token, properties_of
 from ..schema import SCHEMA_VERSION, SUBJECT, SUBJECT_COLUMNS
 
@@ -33,7 +34,7 @@ def typed(observations: DataFrame) -> DataFrame:
         .otherwise(how)
     )
     parsed = observations.withColumn("parsed", F.when(is_class, parse_token("token"))).withColumn(
-        "declared", F.when(F.col("parsed.is_arbitrary"), declared_value(content))
+        "declared", F.when(F.col("parsed.is_arbitrary"), declared_value("parsed.arbitrary"))
     )
     arbitrary = F.col("parsed.is_arbitrary")
     own = F.struct(
@@ -43,7 +44,7 @@ def typed(observations: DataFrame) -> DataFrame:
         F.when(is_class, arbitrary).otherwise(F.col("is_arbitrary")).alias("is_arbitrary"),
         F.col("property"),
         F.when(arbitrary, content).otherwise(F.col("raw")).alias("raw"),
-        F.when(is_class, F.when(arbitrary, arbitrary_type(content)).otherwise("keyword")).otherwise(plain).alias("type"),
+        F.when(is_class, F.when(arbitrary, arbitrary_type("parsed.arbitrary")).otherwise("keyword")).otherwise(plain).alias("type"),
     )
     text, flag = F.lit(None).cast("string"), F.lit(None).cast("boolean")
     declaration = lambda p: F.struct(
@@ -55,6 +56,7 @@ def typed(observations: DataFrame) -> DataFrame:
     return made.select(*[F.col(f"made.{c}" if c in new else c).alias(c) for c in _COMMON])
 
 
+@built_once
 def _subject() -> Column:
     fields = [F.when(F.col("kind") == "css.declaration", normalize_property("property")).alias("property") if c == "property" else F.col(c) for c in SUBJECT_COLUMNS]
     return F.struct(*fields, F.col("element_id")).cast(SUBJECT)
@@ -96,9 +98,10 @@ def finish(rows: DataFrame) -> DataFrame:
     )
 
 
+@built_once
 def _owner_id() -> Column:
     """The id of the element a row hangs on: computed from what the row carries, so no join."""
-    return F.when(F.col("element").isNotNull(), element_fact_id("file", F.col("element.loc"), F.col("element")))
+    return F.when(F.col("element").isNotNull(), element_fact_id("file", "element.loc", "element"))
 
 
 def assemble(observations: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import canonical_json
+from ..functions.text import built_once
 from ..schema import FACT, LOC, SUBJECT_FIELDS
 from .assemble import sort_facts
 
@@ -24,6 +25,7 @@ def _text(value: Column) -> Column:
     return F.regexp_replace(wrapped, r'(?s)^\{"v":(.*)\}$', "$1")
 
 
+@built_once
 def fact_json() -> Column:
     """A fact as canonical JSON: keys in order, an absent diagnostic or value left out."""
     loc = canonical_json(F.struct(*[F.col(f"loc.{c}").alias(c) for c in sorted(LOC.names)]))
