@@ -65,13 +65,7 @@ def packed_row(docs: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """At most ``most`` rows, those with the smallest 64-bit hashes in column ``key``.
-
-    Rows are thinned by a bound on the hash before they are sorted, so the
-    task that sorts reads a few times ``most`` rows however many there are.
-    """
-    n = rows.count()
-    if n > 4 * most:
-        rows = rows.where(F.col(key) < -(1 << 63) + int(2**64 * 4 * most / n))
-    return rows.orderBy(*rows.columns).limit(most)
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns that can be hashed: an order among rows that agree in id and text."""
+    plain = [f.name for f in docs.schema if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in plain])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import packed_row
+from .common import packed_row, row_hash
 
 
 def pfair_slots(tickets: dict[str, int]) -> dict[str, list[int]]:
@@ -87,7 +87,9 @@ def mix_sources(
     The rank inside a source needs no window over a whole source: rows fall
     into md5-prefix buckets of about ``bucket_rows``, ranks are taken per
     bucket and offset by the bucket counts before it. Null sources form a
-    source of their own; null ids rank first; repeated rows get one place each.
+    source of their own; null ids rank first; repeated rows get one place each,
+    in the order of a hash of the row. Rows that share an id are ranked by one
+    task.
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n"))
     counts = {r["k"]: r["n"] for r in docs.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n")).limit(max_sources + 1).collect()}
@@ -113,12 +115,12 @@ def mix_sources(
     digits = max(1, math.ceil(math.log(max(largest / bucket_rows, 1), 16)))
     mark = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     rows = docs.select(
-        packed_row(docs).alias("row"), F.col(id_col).alias("doc_id"), key.alias("source_key"), mark.alias("mark")
+        packed_row(docs).alias("row"), F.col(id_col).alias("doc_id"), key.alias("source_key"), mark.alias("mark"), row_hash(docs).alias("tie")
     ).withColumn("bucket", F.substring("mark", 1, digits))
     sizes = rows.groupBy("source_key", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("source_key", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source_key", "bucket").orderBy("mark", "doc_id")
+    inside = Window.partitionBy("source_key", "bucket").orderBy("mark", "doc_id", "tie")
     ranked = (
         rows.withColumn("rank", F.row_number().over(inside) - 1)
         .join(offsets, ["source_key", "bucket"])
