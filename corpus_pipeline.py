@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import materialise, packed_row
+from tessera.llm.common import materialise, packed_row, row_hash
 from tessera.llm.decontamination import find_contamination
 from tessera.llm.jaccard_join import jaccard_groups
 from tessera.llm.language_id import UNKNOWN, identify_language
@@ -36,9 +36,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by shingle Jaccard the smallest id stays, once; of rows that repeat id and text one stays."""
     stay = jaccard_groups(docs).where("stays").select(F.col("doc_id").alias("stay_id"), F.col("print").alias("stay_print")).distinct()
-    rows = docs.select(packed_row(docs).alias("row"), F.col("doc_id").alias("id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("print"))
+    rows = docs.select(packed_row(docs).alias("row"), F.col("doc_id").alias("id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("print"), row_hash(docs).alias("tie"))
     kept = rows.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("print") == F.col("stay_print")), "left_semi")
-    place = F.row_number().over(Window.partitionBy("id", "text").orderBy(F.xxhash64("row")))
+    place = F.row_number().over(Window.partitionBy("id", "text").orderBy("tie"))
     return kept.withColumn("place", place).where("place = 1").select("row.*")
 
 
