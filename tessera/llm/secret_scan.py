@@ -135,8 +135,9 @@ class Neighbours:
         for _, _, before, after, label in findings:
             seen[label].update(set(beside(before, after)))
         total = [sum(1 for f in findings if f[4] == label) for label in (0, 1)]
-        odds = lambda w: math.log((seen[1][w] + 1) / (total[1] + 2)) - math.log((seen[0][w] + 1) / (total[0] + 2))
-        self.odds = {w: odds(w) for w in seen[0].keys() | seen[1].keys()}
+        odds = lambda w: math.log((seen[1][w] + 5) / (total[1] + 10)) - math.log((seen[0][w] + 5) / (total[0] + 10))
+        # Words that stand beside both alike say nothing.
+        self.odds = {w: x for w in seen[0].keys() | seen[1].keys() if abs(x := odds(w)) > 0.7}
 
     def score(self, before: str, after: str) -> float:
         return sum(self.odds.get(w, 0.0) for w in set(beside(before, after)))
@@ -185,7 +186,7 @@ def features(kind: str, value: str, before: str, after: str, vocabulary: Vocabul
 class RandomForest:
     """Gini trees on bootstrap samples and random feature subsets."""
 
-    def __init__(self, trees: int = 25, depth: int = 8, seed: int = 11):
+    def __init__(self, trees: int = 50, depth: int = 10, seed: int = 11):
         self.trees, self.depth, self.rng = trees, depth, np.random.default_rng(seed)
         self.roots: list = []
 
@@ -272,40 +273,45 @@ def labelled_findings(words: list[str], n: int = 1500, seed: int = 4) -> list[tu
         lambda: pick(hexes, int(some([32, 40, 64]))), lambda: pick(hexes.upper(), 40), lambda: pick(alnum, int(rng.integers(16, 64))), lambda: pick(alnum + "/+", 40),
         lambda: pick(hexes, int(some([256, 512]))), lambda: pick(alnum + "/+", int(rng.integers(200, 800))), lambda: pick(alnum + "!#$%&*_-", int(rng.integers(12, 32))),
     ]
-    out = []
-    for _ in range(n):
-        q = some(['"', "'", ""])
-        name = some(names) if rng.random() < 0.85 else some(words)
-        kind = "assignment" if name in names else "opaque"
+    #: Words that stand beside real findings and beside examples now and then.
+    hints = {1: ["export", "prod", "deploy", "env", "login", "header"], 0: ["example", "sample", "docs", "replace", "see", "page"]}
+
+    def context(kind: str, label: int) -> tuple[str, str]:
+        """Text before and behind; but for a hint now and then it is the same for both labels."""
+        q = some(['"', "'", "", ""])
+        hint = [some(hints[label])] if rng.random() < 0.3 else []
+        words_before = " ".join([some(words), *hint, some(words)])
+        if kind == "opaque" or kind != "assignment" and rng.random() < 0.5:
+            return f"{words_before} ", f" {some(words)}"
+        name = some(names)
         if rng.random() < 0.4:
-            kind = some(list(known))
-            value = known[kind][0]()
-        else:
-            value = some(plain)()
-        if rng.random() < 0.3:
             name = some(["client", "db", "aws_secret", "my-app", "access"]) + some(["_", "-"]) + name
         if rng.random() < 0.3:
             name = name.upper()
-        if kind in ("assignment", "opaque") and rng.random() < 0.15:
+        return f"{words_before} {name}{some([' = ', ': ', '='])}{q}", f"{q} {some(words)}"
+
+    out = []
+    for _ in range(n):
+        kind = some(["assignment", "opaque"]) if rng.random() < 0.6 else some(list(known))
+        value = known[kind][0]() if kind in known else some(plain)()
+        if kind == "assignment" and rng.random() < 0.15:
             value += some(["!!", "###", "&&&", "%%%"])
-        bare = kind in known and rng.random() < 0.5  # known shapes also leak without a name before them
-        out.append((kind, value, f"{some(words)} {some(words)} " if bare else f"{some(words)} {name}{some([' = ', ': ', '='])}{q}", f"{q} {some(words)}", 1))
+        out.append((kind, value, *context(kind, 1), 1))
         word = [some(words) for _ in range(4)]
         number = str(int(rng.integers(1, 10**6)))
         wrong = [
-            "-".join(word), "_".join(word) + number, "/" + "/".join(word) + ".html", "your_" + name.lower() + "_here",
-            "x" * int(rng.integers(8, 30)), "${" + word[0].upper() + "}", "example-" + word[0] + number, word[0] + word[1] + number,
+            "-".join(word), "_".join(word) + number, "/" + "/".join(word) + ".html", "your_" + some(names) + "_here",
+            "x" * int(rng.integers(8, 30)), "*" * int(rng.integers(6, 20)), "${" + word[0].upper() + "}", "example-" + word[0] + number, word[0] + word[1] + number,
+            some(["changeme", "example", "placeholder", "test-key", "sample", "dummy", "none", "todo"]) + some(["", "-" + number, "-" + word[0]]),
             ".".join(word), "0" * int(rng.integers(8, 30)), word[0], "https://" + word[0] + ".com/" + word[1] + "/" + number,
             "-".join(some(words) for _ in range(60)), "/" + "/".join(some(words) for _ in range(50)) + number, some("=-_") * int(rng.integers(20, 800)),
             "/" + "/".join(some(words) + some(["", "-" + some(words), number[:1]]) for _ in range(int(rng.integers(3, 9)))) + number[:2],
             "_".join(some(words) for _ in range(4)) + "-v" + ".".join(number[:3]), some(words).title() + some(words).title() + some(words).title() + "Service" + number,
+            some("-_").join(some(words) for _ in range(int(rng.integers(3, 7)))) + some("-_") + number[:1],
         ]
-        kind, value = some(["assignment", "opaque"]), some(wrong)
-        if rng.random() < 0.3:
-            kind = some(list(known))
-            value = known[kind][1]()
-        before = f"{some(words)} {some(names)}{some([' = ', ': '])}{q}" if kind != "opaque" and rng.random() < 0.7 else some(words) + " "
-        out.append((kind, value, before, f"{q} {some(words)}", 0))
+        kind = some(["assignment", "opaque"]) if rng.random() < 0.7 else some(list(known))
+        value = known[kind][1]() if kind in known else some(wrong)
+        out.append((kind, value, *context(kind, 0), 0))
     return out
 
 
