@@ -31,7 +31,8 @@ def line_dedup(
     in the map tasks; the join that finds the lines to drop is salted, so a
     line that a third of all documents share is spread over ``salts`` tasks.
 
-    Null or empty text is one empty line; ids may repeat (a document is then
+    Texts and lines of any length up to Spark's 2 GB are taken whole. Null or
+    empty text is one empty line; ids may repeat (a document is then
     all rows of the id, and rows of one id with equal text get equal results);
     null ids count as one document that ranks lowest. Empty tables give empty
     results.

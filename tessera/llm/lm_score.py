@@ -292,7 +292,9 @@ def lm_scores(
     ``head`` most frequent words are broadcast (16 bytes each at most), the
     rest, rare by construction, meet their counts in a join.
 
-    Null text is empty: one end token. Null ids are trained on (their crc32 is
+    A text is hashed as a whole by one task, which takes about 40 times its
+    bytes. The head takes whole bands of counts, so no tie is cut. Null text is
+    empty: one end token. Null ids are trained on (their crc32 is
     null) and not held out. Rows that repeat id and text get equal rows. An
     empty table gives an empty result.
     """

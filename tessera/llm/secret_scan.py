@@ -391,7 +391,8 @@ def scan_secrets(
     texts; the dictionary that is broadcast holds whole bands of the most
     frequent words, at most ``vocabulary_words``. Offsets count code points.
 
-    Null and empty texts have no candidates; repeated rows give repeated
+    Texts of any length are scanned whole, by one task each. Null and empty
+    texts have no candidates; repeated rows give repeated
     findings; null ids are kept; an empty table gives an empty result.
     """
     spark = docs.sparkSession
