@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from tessera import cli, schema
 from tessera.functions.normalize import format_number, normalize_color, normalize_keyword, normalize_length, normalize_property, normalize_value
-from tessera.operators.assemble import diff, listed, sort_facts, upsert
+from tessera.functions.utility import parse_token
+from tessera.operators.assemble import diff, listed, numbered, sort_facts, upsert
 from tessera.operators.extract import extract
-from tessera.operators.output import coverage, ndjson, unresolved_rate
+from tessera.operators.output import coverage, fact_json, facts_from_json, ndjson, unresolved_rate
 from tessera.parse import css, tsx
 from tessera.parse.extractors import Options, extract_file, register
-from tessera.plans.policy import STANDARD, Policy, PolicySet, condition, load_policies, run_policy, sarif, scores, translate
+from tessera.plans.policy import STANDARD, Policy, PolicySet, condition, load_policies, run_policy, sarif, sarif_results, scores, translate
 from tessera.sources.cache import extract_cached
 from tessera.sources.files import build_header, discover, from_table
 
@@ -276,6 +277,15 @@ def test_registered_extractors_run_on_workers(spark):
         extract(rows(spark, {"a.css": ""}), Options(extractors=("none",)))
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_one_split_is_parsed_by_many_tasks(spark):
+    files = rows(spark, {f"{i}.css": "a { color: red }" for i in range(64)}).coalesce(1)
+    assert extract(files).facts.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
 def test_schema_and_registry(spark):
     assert [c["name"] for c in schema.column_manifest()] == "fact_id kind schema_v file line col endLine endCol source producer_v certainty diagnostic raw norm value_type".split()
     assert set(schema.json_schema()["$defs"]) == set(schema.KINDS)
