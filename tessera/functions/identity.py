@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import built_once, col
+from .text import built_once, col, let
 
 #: The identity fields of each kind's subject, in canonical order.
 SUBJECT_KEYS = {
@@ -22,10 +22,23 @@ _CONTROLS = [0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)]
 
 def canonical_json(value) -> Column:
     """JSON without blanks, nulls kept; the struct's fields must be in key order."""
-    text = F.to_json(value, {"ignoreNullFields": "false"})
-    for c in _CONTROLS:
-        text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*)\\u{c:04X}", rf"$1\\u{c:04x}")
-    return text
+    return small_escapes(written_json(value))
+
+
+def written_json(value) -> Column:
+    """JSON as the writer spells it; ``small_escapes`` makes it canonical."""
+    return F.to_json(value, {"ignoreNullFields": "false"})
+
+
+def small_escapes(text: Column) -> Column:
+    """Written JSON with small hex digits; the patterns, far slower than the writer, run only on texts with such an escape."""
+
+    def small(t: Column) -> Column:
+        for c in _CONTROLS:
+            t = F.regexp_replace(t, rf"(?<!\\)((?:\\\\)*)\\u{c:04X}", rf"$1\\u{c:04x}")
+        return t
+
+    return let(text, lambda t: F.when(t.contains("\\u00"), small(t)).otherwise(t))
 
 
 def sha256_hex(x) -> Column:
@@ -47,10 +60,10 @@ def identity(kind: str, file, loc, subject, norm) -> Column:
 @built_once
 def fact_id(kind, file, loc, subject, norm) -> Column:
     """The id of a fact of any kind."""
-    out = F.lit(None).cast("string")
+    text = F.lit(None).cast("string")
     for name in SUBJECT_KEYS:
-        out = F.when(col(kind) == name, sha256_hex(canonical_json(identity(name, file, loc, subject, norm)))).otherwise(out)
-    return out
+        text = F.when(col(kind) == name, written_json(identity(name, file, loc, subject, norm))).otherwise(text)
+    return sha256_hex(small_escapes(text))
 
 
 @built_once

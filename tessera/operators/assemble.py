@@ -118,10 +118,12 @@ def numbered(facts: DataFrame) -> DataFrame:
 
     The order begins with the file, so places are counted within files, which
     spread over the cluster, and only one row a file takes part in the running
-    sum over files. Both sides read one exchange.
+    sum over files. Both sides read one exchange where only the columns of the
+    order are asked for; the join's own test for nulls comes before it, as it
+    would otherwise make one side differ and all files be parsed twice.
     """
     inside = Window.partitionBy("file").orderBy("loc.line", "loc.col", "kind", "fact_id")
-    rows = facts.repartition("file").withColumn("rank", F.row_number().over(inside)).withColumn("in_file", F.count(F.lit(1)).over(Window.partitionBy("file")))
+    rows = facts.where("file is not null").repartition("file").withColumn("rank", F.row_number().over(inside)).withColumn("in_file", F.count(F.lit(1)).over(Window.partitionBy("file")))
     files = rows.where("rank = 1").select(F.col("file").alias("of_file"), "in_file")
     before = F.sum("in_file").over(Window.orderBy("of_file").rowsBetween(Window.unboundedPreceding, -1))
     offsets = files.select("of_file", F.coalesce(before, F.lit(0)).alias("before"))

@@ -286,6 +286,13 @@ def test_one_split_is_parsed_by_many_tasks(spark):
     assert extract(files).facts.select(F.spark_partition_id().alias("p")).distinct().count() > 4
 
 
+def test_numbering_parses_once(spark):
+    placed = numbered(extract(rows(spark, APP)).facts).select("fact_id", "place")
+    wanted = [r.fact_id for r in sort_facts(extract(rows(spark, APP)).facts).select("fact_id").collect()]
+    assert [r.fact_id for r in sorted(placed.collect(), key=lambda r: r.place)] == wanted
+    assert plan_of(placed).count("MapInArrow") == 1
+
+
 def test_schema_and_registry(spark):
     assert [c["name"] for c in schema.column_manifest()] == "fact_id kind schema_v file line col endLine endCol source producer_v certainty diagnostic raw norm value_type".split()
     assert set(schema.json_schema()["$defs"]) == set(schema.KINDS)
