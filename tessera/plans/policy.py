@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,7 +129,8 @@ def message(template: str, columns: list[str]) -> Column:
 def sarif_results(facts: DataFrame, policies: PolicySet = STANDARD) -> DataFrame:
     """One row a violation with its SARIF result as JSON; columns count from one.
 
-    Each fact is tested for all policies that are conditions in one pass.
+    Each fact is tested for all policies that are conditions in one pass; only
+    facts that one of them finds get ids and texts.
     """
     simple, other = _split(policies)
 
@@ -144,7 +147,7 @@ def sarif_results(facts: DataFrame, policies: PolicySet = STANDARD) -> DataFrame
 
     parts = []
     if simple:
-        view = facts_view(facts)
+        view = facts_view(facts).where(reduce(or_, (c for _, c in simple)))
         found = F.array_compact(F.array(*[F.when(c, result(p, view.columns)) for p, c in simple]))
         parts.append(view.select("file", "line", "col", "fact_id", F.explode(found).alias("x")))
     for p in other:

@@ -293,6 +293,15 @@ def test_numbering_parses_once(spark):
     assert plan_of(placed).count("MapInArrow") == 1
 
 
+def test_sarif_looks_at_conditions_before_ids(spark):
+    facts = extract(rows(spark, APP)).facts
+    found = sarif_results(facts)
+    assert found.count() == sum(run_policy(facts, p).count() for p in STANDARD.policies)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("sha2(") :]  # plans are printed from the last step to the first
+    assert "Filter" in below[: below.index("Generate explode")]
+
+
 def test_schema_and_registry(spark):
     assert [c["name"] for c in schema.column_manifest()] == "fact_id kind schema_v file line col endLine endCol source producer_v certainty diagnostic raw norm value_type".split()
     assert set(schema.json_schema()["$defs"]) == set(schema.KINDS)
