@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .normalize import NUMBER
-from .text import JS_SPACE, built_once, col, has, js_trim, part
+from .text import JS_SPACE, built_once, col, has, js_trim, let, part
 
 #: The properties that an arbitrary value sets, by the prefix of its token and the type of the value.
 ARBITRARY_PROPERTIES = {
@@ -127,17 +127,20 @@ def strip_variants(token) -> Column:
 @built_once
 def parse_token(token) -> Column:
     """struct(utility, prefix, arbitrary, is_arbitrary) of a class token."""
-    bare = strip_variants(token)
-    head = F.substring_index(bare, "[", 1)
-    first = part(head, "^-*([^-]+)")
-    utility = F.when(first == "", F.lit(None)).otherwise(F.concat(F.when(head.startswith("-"), "-").otherwise(""), first))
-    found = has(bare, r"\[[^\]]*\]")
-    return F.struct(
-        utility.alias("utility"),
-        F.regexp_replace(head, "^-+|-+$", "").alias("prefix"),
-        F.when(found, part(bare, r"\[([^\]]*)\]")).alias("arbitrary"),
-        found.alias("is_arbitrary"),
-    )
+
+    def parsed(bare: Column) -> Column:
+        head = F.substring_index(bare, "[", 1)
+        first = part(head, "^-*([^-]+)")
+        utility = F.when(first == "", F.lit(None)).otherwise(F.concat(F.when(head.startswith("-"), "-").otherwise(""), first))
+        found = has(bare, r"\[[^\]]*\]")
+        return F.struct(
+            utility.alias("utility"),
+            F.regexp_replace(head, "^-+|-+$", "").alias("prefix"),
+            F.when(found, part(bare, r"\[([^\]]*)\]")).alias("arbitrary"),
+            found.alias("is_arbitrary"),
+        )
+
+    return let(strip_variants(token), parsed)
 
 
 @built_once

@@ -302,6 +302,13 @@ def test_sarif_looks_at_conditions_before_ids(spark):
     assert "Filter" in below[: below.index("Generate explode")]
 
 
+def test_element_rows_read_a_token_once(spark):
+    """The parts of a class token are taken from one text, whatever its brackets."""
+    tokens = spark.createDataFrame([("md:px-[2px]",), ("[&_[data-x]]:-mt-[a:b]",), ("p-2",)], "t string").select(parse_token(F.col("t")).alias("x"))
+    assert [tuple(r.x) for r in tokens.collect()] == [("px", "px", "2px", True), ("-mt", "mt", "a:b", True), ("p", "p-2", None, False)]
+    assert tokens._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
 def test_schema_and_registry(spark):
     assert [c["name"] for c in schema.column_manifest()] == "fact_id kind schema_v file line col endLine endCol source producer_v certainty diagnostic raw norm value_type".split()
     assert set(schema.json_schema()["$defs"]) == set(schema.KINDS)
