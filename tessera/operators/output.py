@@ -8,46 +8,39 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identity import canonical_json
+from ..functions.identity import small_escapes, written_json
 from ..functions.text import built_once
 from ..schema import FACT, LOC, SUBJECT_FIELDS
 from .assemble import sort_facts
 
 
-def _json_field(name: str, value: Column) -> Column:
-    """"name":value of a canonical object."""
-    return F.concat(F.lit(f'"{name}":'), value)
-
-
-def _text(value: Column) -> Column:
-    """A string or null as JSON."""
-    wrapped = canonical_json(F.struct(value.alias("v")))
-    return F.regexp_replace(wrapped, r'(?s)^\{"v":(.*)\}$', "$1")
+def _fields(**values: Column) -> Column:
+    """"name":value,... of an object as the writer spells it, without its braces."""
+    return F.regexp_replace(written_json(F.struct(*[v.alias(k) for k, v in values.items()])), r"(?s)^\{(.*)\}$", "$1")
 
 
 @built_once
 def fact_json() -> Column:
-    """A fact as canonical JSON: keys in order, an absent diagnostic or value left out."""
-    loc = canonical_json(F.struct(*[F.col(f"loc.{c}").alias(c) for c in sorted(LOC.names)]))
+    """A fact as canonical JSON: keys in order, an absent diagnostic or value left out.
+
+    Neighbouring keys that are always there are written together, and escapes
+    are made small once, in the whole text.
+    """
+    plain = lambda *names: {c: F.col(c) for c in names}
+    loc = F.struct(*[F.col(f"loc.{c}").alias(c) for c in sorted(LOC.names)])
     subject = F.lit(None).cast("string")
     for kind, fields in SUBJECT_FIELDS.items():
-        made = canonical_json(F.struct(*[F.col(f"subject.{c}").alias(c) for c in sorted(fields)]))
-        subject = F.when(F.col("kind") == kind, made).otherwise(subject)
-    value = canonical_json(F.struct(*[F.col(f"value.{c}").alias(c) for c in ("norm", "raw", "type")]))
+        made = F.struct(*[F.col(f"subject.{c}").alias(c) for c in sorted(fields)])
+        subject = F.when(F.col("kind") == kind, _fields(subject=made)).otherwise(subject)
+    value = F.struct(*[F.col(f"value.{c}").alias(c) for c in ("norm", "raw", "type")])
     parts = [
-        _json_field("certainty", _text(F.col("certainty"))),
-        F.when(F.col("diagnostic").isNotNull(), _json_field("diagnostic", _text(F.col("diagnostic")))),
-        _json_field("fact_id", _text(F.col("fact_id"))),
-        _json_field("file", _text(F.col("file"))),
-        _json_field("kind", _text(F.col("kind"))),
-        _json_field("loc", loc),
-        _json_field("producer_v", _text(F.col("producer_v"))),
-        _json_field("schema_v", _text(F.col("schema_v"))),
-        _json_field("source", _text(F.col("source"))),
-        _json_field("subject", subject),
-        F.when(F.col("value").isNotNull(), _json_field("value", value)),
+        _fields(**plain("certainty")),
+        F.when(F.col("diagnostic").isNotNull(), _fields(**plain("diagnostic"))),
+        _fields(**plain("fact_id", "file", "kind"), loc=loc, **plain("producer_v", "schema_v", "source")),
+        subject,
+        F.when(F.col("value").isNotNull(), _fields(value=value)),
     ]
-    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    return small_escapes(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")))
 
 
 def facts_from_json(lines: DataFrame, column: str = "value") -> DataFrame:

@@ -309,6 +309,18 @@ def test_element_rows_read_a_token_once(spark):
     assert tokens._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
 
 
+def test_json_escapes_are_sought_once(spark):
+    odd = ".a { content: '\x0b\x1f\\\\u000B'; color: #FFF }"
+    facts = extract(rows(spark, {"a.css": odd, **APP})).facts
+    lines = facts.select(fact_json().alias("value"))
+    made = [json.loads(r.value) for r in lines.collect()]
+    assert all(r.value == json.dumps(m, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for r, m in zip(lines.collect(), made))
+    assert "\x0b\x1f\\\\u000B" in next(m["value"]["raw"] for m in made if m["file"] == "a.css")
+    assert sorted(map(str, facts_from_json(lines).collect())) == sorted(map(str, facts.collect()))
+    read = facts_from_json(lines.sparkSession.createDataFrame(lines.collect(), "value string")).select(fact_json().alias("value"))
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("u000B, ") == 1
+
+
 def test_schema_and_registry(spark):
     assert [c["name"] for c in schema.column_manifest()] == "fact_id kind schema_v file line col endLine endCol source producer_v certainty diagnostic raw norm value_type".split()
     assert set(schema.json_schema()["$defs"]) == set(schema.KINDS)
